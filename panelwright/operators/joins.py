@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,77 +73,83 @@ def fill_missing(left: DataFrame, right: DataFrame, keys: list[str], cols: list[
     return out.withColumns({c: F.coalesce(c, f"_r_{c}") for c in cols}).drop(*[f"_r_{c}" for c in cols])
 
 
-def trigrams(c: Column) -> Column:
-    """Distinct three-character pieces of a padded name."""
-    padded = F.concat(F.lit("  "), c, F.lit(" "))
-    pieces = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
-    return F.array_distinct(pieces)
-
-
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
-def _pieces(name: Column, cutoff: float) -> Column:
-    """Positional pieces for an exact candidate join.
-
-    A pair above the cutoff differs by at most d = floor((1 - cutoff) * longer)
-    edits. Cut into d + 1 pieces, at least one piece of the shorter-or-equal
-    partition survives unchanged and shifted by at most d places (pigeonhole).
-    """
-    raise NotImplementedError
-
+@F.pandas_udf("double")
+def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Block-matching ratio of two names (only ever sees candidate pairs)."""
+    return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b)])
 
-def fuzzy_candidates(names: DataFrame, targets: DataFrame, cutoff: float) -> DataFrame:
-    """Every (name, target) pair that can reach ``cutoff``, found by an equi-join.
 
-    With edit similarity s >= cutoff, the pair has at most
-    d = floor((1 - cutoff) * L) edits, L the longer length. Cutting the target
-    into d(L)+1 consecutive pieces, one piece must occur unchanged in the name,
-    moved by at most d places. Targets emit their pieces per feasible longer
-    length; names emit the matching substrings. No candidate is capped.
-    """
-    slack = 1.0 - cutoff
-    eps = 1e-9
-
-    def edits(length: Column) -> Column:
-        return F.floor(length * F.lit(slack) + F.lit(eps)).cast("int")
-
-    t = targets.select(F.col("name").alias("target")).distinct()
-    lt = F.length("target")
-    # The name may be longer than the target: L ranges over [len, len / cutoff].
-    max_l = F.floor(lt / F.lit(cutoff) + F.lit(eps)).cast("int")
-    n_pieces = edits(max_l) + 1
-    idx = F.sequence(F.lit(0), n_pieces - 1)
-    start = lambda i: F.floor(i * lt / n_pieces).cast("int")
-    pieces = F.transform(
-        idx,
-        lambda i: F.struct(
-            start(i).alias("at"), F.substr(F.col("target"), start(i) + 1, start(i + 1) - start(i)).alias("piece")
-        ),
-    )
-    t = t.withColumn("_p", F.explode(pieces)).select(
-        "target", lt.alias("_lt"), F.col("_p.at").alias("_at"), F.col("_p.piece").alias("piece")
-    )
-    n = names.select(F.col("name").alias("name")).distinct()
-    widths = t.select(F.length("piece").alias("_w")).distinct()
-    return n, t, widths
+def _floor(c: Column) -> Column:
+    return F.floor(c + F.lit(1e-9)).cast("int")
 
 
-def fuzzy_match(names: DataFrame, targets: DataFrame, cutoff: float = 0.75, hot_block: int = 50_000) -> DataFrame:
-    """Best target per distinct name with edit similarity of at least ``cutoff``.
+def fuzzy_pairs(names: DataFrame, targets: DataFrame, cutoff: float, by_ratio: bool) -> DataFrame:
+    """All (name, target) pairs that can reach ``cutoff``, found by an equi-join.
 
-    Candidates share at least one piece of text, see :func:`shared_piece_join`;
-    the similarity is then computed natively and the best kept per name
-    (highest similarity, then smallest target).
+    A pair that reaches the cutoff differs by at most d edits: (1 - cutoff) of
+    the longer length for edit similarity, of both lengths together for the
+    block ratio. Cut the target into d + 1 consecutive pieces; one of them must
+    stand unchanged in the name, moved by at most d places. Targets publish
+    their pieces keyed by (length, piece number, text), names probe with the
+    substrings that could be that piece. No candidate is capped, the edit
+    distance is checked inside the join, and only true pairs leave it.
     """
-    pairs = shared_piece_join(names, targets, cutoff)
-    scored = pairs.withColumn("similarity", edit_similarity(F.col("name"), F.col("target"))).where(
-        F.col("similarity") >= cutoff
-    )
-    return scored.groupBy("name").agg(
-        F.max_by(F.col("target"), F.struct(F.col("similarity"), -F.xxhash64("target"))).alias("_any"),
-        F.max("similarity").alias("similarity"),
+    slack = 1.0 - cutoff
+    stretch = (2.0 - cutoff) / cutoff if by_ratio else 1.0 / cutoff
+
+    def edits(la: Column, lb: Column) -> Column:
+        return _floor((la + lb if by_ratio else F.greatest(la, lb)) * F.lit(slack))
+
+    def pieces_of(length: Column) -> Column:
+        return edits(length, _floor(length * F.lit(stretch))) + 1
+
+    def start(i: Column, length: Column, pieces: Column) -> Column:
+        return F.floor(i * length / pieces).cast("int")
+
+    t = targets.select(F.col("name").alias("target")).where(F.length("target") > 0).distinct()
+    t = t.withColumn("_len", F.length("target")).withColumn("_m", pieces_of(F.col("_len")))
+    t = t.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    s0, s1 = start(F.col("_i"), F.col("_len"), F.col("_m")), start(F.col("_i") + 1, F.col("_len"), F.col("_m"))
+    t = t.select("target", "_len", "_i", F.substr("target", s0 + 1, s1 - s0).alias("_piece"))
+
+    n = names.select("name").where(F.length("name") > 0).distinct().withColumn("_ln", F.length("name"))
+    shortest = F.ceil(F.col("_ln") / F.lit(stretch) - F.lit(1e-9)).cast("int")
+    n = n.withColumn("_len", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), _floor(F.col("_ln") * F.lit(stretch)))))
+    n = n.withColumns({"_m": pieces_of(F.col("_len")), "_d": edits(F.col("_ln"), F.col("_len"))})
+    n = n.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    n = n.withColumns(
+        {
+            "_s": start(F.col("_i"), F.col("_len"), F.col("_m")),
+            "_w": start(F.col("_i") + 1, F.col("_len"), F.col("_m")) - start(F.col("_i"), F.col("_len"), F.col("_m")),
+        }
     )
+    lo = F.greatest(F.col("_s") - F.col("_d"), F.lit(0))
+    hi = F.least(F.col("_s") + F.col("_d"), F.col("_ln") - F.col("_w"))
+    probes = F.array_distinct(F.transform(F.sequence(lo, hi), lambda p: F.substr(F.col("name"), p + 1, F.col("_w"))))
+    n = n.where(lo <= hi).select("name", "_d", "_len", "_i", F.explode(probes).alias("_piece"))
+
+    close = F.levenshtein(F.col("name"), F.col("target")) <= F.col("_d")
+    hit = (n["_len"] == t["_len"]) & (n["_i"] == t["_i"]) & (n["_piece"] == t["_piece"]) & close
+    return n.join(t, hit).select("name", "target").distinct()
+
+
+def fuzzy_match(names: DataFrame, targets: DataFrame, cutoff: float = 0.75, by_ratio: bool = False) -> DataFrame:
+    """Best target per distinct name at or above ``cutoff``; largest target text on ties."""
+    pairs = fuzzy_pairs(names, targets, cutoff, by_ratio)
+    score = matcher_ratio if by_ratio else edit_similarity
+    pairs = pairs.withColumn("similarity", score(F.col("name"), F.col("target"))).where(F.col("similarity") >= cutoff)
+    best = pairs.groupBy("name").agg(F.max(F.struct("similarity", "target")).alias("_b"))
+    return best.select("name", F.col("_b.target").alias("target"), F.col("_b.similarity").alias("similarity"))
+
+
+def group_mean_features(panel: DataFrame, source: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Join group means of the columns the panel does not have yet."""
+    new = [c for c in cols if c not in panel.columns]
+    means = source.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in new])
+    return panel.join(means, keys, "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,10 +104,8 @@ def score_with(df: DataFrame, text: str, scorer) -> DataFrame:
     negative, neutral). It runs in Arrow batches inside the tasks; blank text
     stays neutral without reaching the scorer.
     """
-    import pandas as pd
-
     @F.pandas_udf("struct<positive_prob double, negative_prob double, neutral_prob double>")
-    def probs(batches: "pd.Series") -> "pd.DataFrame":
+    def probs(batches: pd.Series) -> pd.DataFrame:
         out = pd.DataFrame(
             {"positive_prob": 0.0, "negative_prob": 0.0, "neutral_prob": 1.0}, index=batches.index
         )

@@ -213,3 +213,24 @@ view("fundamentals", ["lines"], """
     round(avg(l_tax) * 100, 6) AS eps
   FROM lines GROUP BY isin, period, month_ord
   HAVING (CAST(substr(isin, 4, 3) AS INT) + month_ord) % 7 <> 0""")
+
+view("panel", ["classified", "monthly_indicators", "sentiment", "fundamentals", "macro"], """
+  SELECT c.fund, c.isin, c.period, c.month_ord, c.sector, c.fund_type, c.quantity, c.market_value, c.pct_nav,
+    c.position_action, c.allocation_change, c.holding_tenure, k.consensus_count,
+    t.rsi, t.macd_hist, t.bollinger_pband, t.monthly_return, t.monthly_volatility, t.volume_ratio,
+    s.sentiment_mean, s.news_count, f.pe, f.pb, f.market_cap, f.eps,
+    m.index_close, m.index_return, m.vix, m.repo_rate, m.cpi
+  FROM classified c
+  LEFT JOIN (SELECT isin, period, count(*) AS consensus_count FROM classified GROUP BY isin, period) k USING (isin, period)
+  LEFT JOIN monthly_indicators t ON t.symbol = c.isin AND t.period = c.period
+  LEFT JOIN sentiment s ON s.isin = c.isin AND s.period = c.period
+  LEFT JOIN fundamentals f ON f.isin = c.isin AND f.period = c.period
+  LEFT JOIN macro m ON m.period = c.period""")
+
+view("brands", [], "SELECT CAST(replace(p_brand, 'Brand#', '') AS INT) AS n FROM part GROUP BY 1")
+view("id_map_a", ["brands"], """
+  SELECT 'INE' || lpad(CAST(n AS VARCHAR), 3, '0') AS isin, CASE WHEN n % 5 <> 0 THEN 'SYM' || n END AS symbol,
+    CASE WHEN n % 4 <> 0 THEN 'Company ' || n END AS stock_name FROM brands WHERE n <= 17""")
+view("id_map_b", ["brands"], """
+  SELECT 'INE' || lpad(CAST(n AS VARCHAR), 3, '0') AS isin, ' nse' || n AS symbol, 'Co. ' || n AS stock_name
+  FROM brands WHERE n >= 9""")

@@ -212,3 +212,55 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f.where(F.pmod(n + F.col("month_ord"), F.lit(7)) != 0)
 
     return _once(spark, sf_dir, "fundamentals", build)
+
+
+INDICATORS = ["rsi", "macd_hist", "bollinger_pband", "monthly_return", "monthly_volatility", "volume_ratio"]
+FUNDAMENTALS = ["pe", "pb", "market_cap", "eps"]
+MACRO = ["index_close", "index_return", "vix", "repo_rate", "cpi"]
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions joined with indicators, sentiment, fundamentals and macro series.
+
+    The right sides are unique per (stock, month) or month by construction, so
+    the row count is that of the decisions.
+    """
+
+    def build():
+        c = classified(spark, sf_dir).select(
+            "fund", "isin", "period", "month_ord", "sector", "fund_type", "quantity", "market_value", "pct_nav",
+            "position_action", "allocation_change", "holding_tenure",
+        )
+        stock = (
+            c.groupBy("isin", "period")
+            .agg(F.count("*").alias("consensus_count"))
+            .join(monthly_indicators(spark, sf_dir).withColumnRenamed("symbol", "isin").select("isin", "period", *INDICATORS), ["isin", "period"], "left")
+            .join(sentiment(spark, sf_dir).select("isin", "period", "sentiment_mean", "news_count"), ["isin", "period"], "left")
+            .join(fundamentals(spark, sf_dir).select("isin", "period", *FUNDAMENTALS), ["isin", "period"], "left")
+            .join(macro(spark, sf_dir).select("period", *MACRO), "period", "left")
+        )
+        return c.join(stock, ["isin", "period"], "left")
+
+    return _once(spark, sf_dir, "panel", build)
+
+
+def id_map_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First id map: brands up to 17, some names missing."""
+    n = brand_number(F.col("p_brand"))
+    p = table(spark, sf_dir, "part").groupBy(n.alias("n")).agg(F.count("*").alias("parts")).where(F.col("n") <= 17)
+    return p.select(
+        isin_of(F.col("n")).alias("isin"),
+        F.when(F.col("n") % 5 != 0, F.concat(F.lit("SYM"), F.col("n"))).alias("symbol"),
+        F.when(F.col("n") % 4 != 0, F.concat(F.lit("Company "), F.col("n"))).alias("stock_name"),
+    )
+
+
+def id_map_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second id map: brands from 9 on, with its own names."""
+    n = brand_number(F.col("p_brand"))
+    p = table(spark, sf_dir, "part").groupBy(n.alias("n")).agg(F.count("*").alias("parts")).where(F.col("n") >= 9)
+    return p.select(
+        isin_of(F.col("n")).alias("isin"),
+        F.concat(F.lit(" nse"), F.col("n")).alias("symbol"),
+        F.concat(F.lit("Co. "), F.col("n")).alias("stock_name"),
+    )
