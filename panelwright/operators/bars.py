@@ -6,11 +6,13 @@ arrays are bounded by the calendar, not by the number of trades.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwright.functions.cleaning import ratio
+from panelwright.functions.cleaning import finite, ratio
 
 
 def ohlc(df: DataFrame, keys: list[str], order: list[str], price: str, volume: str) -> DataFrame:
@@ -99,59 +101,42 @@ def window_indicators(bars: DataFrame, key: str = "symbol", date: str = "date")
     return df.drop("_prev", "_sd20", "_tr", "_flow", "_p50", "_p200", "sma20")
 
 
-def _ema_step(prev: Column, x: Column, span: int) -> Column:
-    a = 2.0 / (span + 1.0)
-    return F.when(prev.isNull(), x).otherwise(x * F.lit(a) + prev * F.lit(1.0 - a))
-
-
 def recursive_indicators(
     bars: DataFrame, key: str = "symbol", date: str = "date", fast: int = 12, slow: int = 26, signal: int = 9, rsi: int = 14
 ) -> DataFrame:
-    """MACD (line, signal, histogram) and Wilder RSI by one fold over each ordered series.
+    """MACD (line, signal, histogram) and Wilder RSI, one pass over each ordered series.
 
-    The fold carries all six running values in one struct and appends one
-    output per day; everything stays in built-in expressions.
+    Spark has no recursive window, so each symbol's series (one row per day,
+    hence calendar-bounded) is smoothed in an Arrow batch. Several recursions
+    share the pass and the cost is linear in the number of days.
     """
-    series = F.sort_array(F.collect_list(F.struct(date, "close")))
-    grouped = bars.where(F.col("close").isNotNull()).groupBy(key).agg(series.alias("_s"))
-    none = F.lit(None).cast("double")
-    zero = F.struct(
-        F.lit(0).alias("i"), none.alias("c"), none.alias("f"), none.alias("s"), none.alias("g"),
-        F.lit(0.0).alias("up"), F.lit(0.0).alias("dn"),
-    )
-    point = "struct<d:date,macd_line:double,macd_signal:double,macd_hist:double,rsi:double>"
-    start = F.struct(zero.alias("st"), F.array().cast(f"array<{point}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        st, close = acc["st"], x["close"].cast("double")
-        i = st["i"]
-        f, s = _ema_step(st["f"], close, fast), _ema_step(st["s"], close, slow)
-        line = f - s
-        g = _ema_step(st["g"], line, signal)
-        gain = F.greatest(close - st["c"], F.lit(0.0))
-        loss = F.greatest(st["c"] - close, F.lit(0.0))
-
-        def wilder(old: Column, x: Column) -> Column:
-            # Sum of the first `rsi` changes, its mean at day `rsi`, then the smoothed recursion.
-            return (
-                F.when(i == 0, F.lit(0.0))
-                .when(i < rsi, old + x)
-                .when(i == rsi, (old + x) / rsi)
-                .otherwise((old * (rsi - 1) + x) / rsi)
-            )
-
-        up, dn = wilder(st["up"], gain), wilder(st["dn"], loss)
-        value = F.when((i >= rsi) & (dn != 0), 100.0 - 100.0 / (1.0 + F.try_divide(up, dn)))
-        nxt = F.struct(
-            (i + 1).alias("i"), close.alias("c"), f.alias("f"), s.alias("s"), g.alias("g"), up.alias("up"), dn.alias("dn")
-        )
-        row = F.struct(
-            x[date].alias("d"), line.alias("macd_line"), g.alias("macd_signal"), (line - g).alias("macd_hist"), value.alias("rsi")
+
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(date)
+        close = pdf["close"].astype(float)
+        line = close.ewm(span=fast, adjust=False).mean() - close.ewm(span=slow, adjust=False).mean()
+        sig = line.ewm(span=signal, adjust=False).mean()
+        step = close.diff().to_numpy()
+
+        def wilder(change: np.ndarray) -> np.ndarray:
+            out = np.full(len(change), np.nan)
+            if len(change) > rsi:
+                seeded = np.concatenate([[change[1 : rsi + 1].mean()], change[rsi + 1 :]])
+                out[rsi:] = pd.Series(seeded).ewm(alpha=1.0 / rsi, adjust=False).mean().to_numpy()
+            return out
+
+        up, down = wilder(np.clip(step, 0, None)), wilder(np.clip(-step, 0, None))
+        down[down == 0] = np.nan
+        return pd.DataFrame(
+            {
+                key: pdf[key].to_numpy(), date: pdf[date].to_numpy(), "macd_line": line.to_numpy(), "macd_signal": sig.to_numpy(),
+                "macd_hist": (line - sig).to_numpy(), "rsi": 100.0 - 100.0 / (1.0 + up / down),
+            }
         )
-        return F.struct(nxt.alias("st"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    folded = grouped.select(key, F.explode(F.aggregate("_s", start, step, lambda acc: acc["out"])).alias("p"))
-    return folded.select(key, F.col("p.d").alias(date), "p.macd_line", "p.macd_signal", "p.macd_hist", "p.rsi")
+    schema = f"{key} string, {date} date, macd_line double, macd_signal double, macd_hist double, rsi double"
+    got = bars.where(F.col("close").isNotNull()).select(key, date, "close").groupBy(key).applyInPandas(smooth, schema)
+    return got.withColumn("rsi", finite(F.col("rsi")))
 
 
 def monthly_rollup(daily: DataFrame, key: str = "symbol", date: str = "date") -> DataFrame:

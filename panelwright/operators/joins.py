@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.functions.cleaning import text_key
 from panelwright.operators import skew
@@ -79,7 +80,7 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Block-matching ratio of two names (only ever sees candidate pairs)."""
     return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b)])

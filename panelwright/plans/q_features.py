@@ -213,17 +213,18 @@ def winsorised(spark, sf):
     return rounded(ft.winsorise(p, ft.winsor_bounds(p, _WIN, 0.01, 0.99)), 5)
 
 
-@query("month_encoding", """
+@query("month_encoding", f"""
     WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n FROM orders GROUP BY 1)
-    SELECT period, n, round(sin(2 * pi() * CAST(substr(period, 6, 2) AS INT) / 12), 9) + 0.0::DOUBLE AS month_sin, round(cos(2 * pi() * CAST(substr(period, 6, 2) AS INT) / 12), 9) + 0.0::DOUBLE AS month_cos,
-      round((row_number() OVER (ORDER BY period) - 1) / greatest(count(*) OVER () - 1, 1)::DOUBLE, 9) AS month_index FROM m""")
+    SELECT period, n, {near_sql("sin(2 * pi() * CAST(substr(period, 6, 2) AS INT) / 12)")} AS month_sin,
+      {near_sql("cos(2 * pi() * CAST(substr(period, 6, 2) AS INT) / 12)")} AS month_cos,
+      {near_sql("(row_number() OVER (ORDER BY period) - 1) / greatest(count(*) OVER () - 1, 1)::DOUBLE")} AS month_index FROM m""")
 def month_encoding(spark, sf):
     """Cyclic month and normalised index (PRJ12)."""
     m = v.table(spark, sf, "orders").groupBy(pr.period_key(F.col("o_orderdate")).alias("period")).agg(F.count("*").alias("n"))
     s, c = pr.cyclic_month(F.col("period"))
     w = W.orderBy("period")  # one row per calendar month
     last = F.greatest(F.count("*").over(W.partitionBy(F.lit(1))) - 1, F.lit(1))
-    return rounded(m.withColumns({"month_sin": s, "month_cos": c, "month_index": (F.row_number().over(w) - 1) / last}), 9)
+    return rounded(m.withColumns({"month_sin": s, "month_cos": c, "month_index": (F.row_number().over(w) - 1) / last}))
 
 
 _VARS = {"view": "rsi_lag2", "click": "india_vix_close_lag1", "purchase": "sentiment_mean", "signup": "real_interest_rate_lag3", "error": "eps"}

