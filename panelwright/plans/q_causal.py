@@ -101,9 +101,9 @@ def confounder_scores(spark, sf):
 
 @query("double_ml_linear", sql(f"""
     WITH d AS (SELECT action_ordinal AS y, pct_nav AS t, consensus_count::DOUBLE AS x, month_ord % 5 AS f FROM decisions),
-    m AS (SELECT k.f, regr_slope(d.y, d.x) AS by, regr_intercept(d.y, d.x) AS ay, regr_slope(d.t, d.x) AS bt, regr_intercept(d.t, d.x) AS at
+    m AS (SELECT k.f, regr_slope(d.y, d.x) AS sl_y, regr_intercept(d.y, d.x) AS ic_y, regr_slope(d.t, d.x) AS sl_t, regr_intercept(d.t, d.x) AS ic_t
           FROM (SELECT DISTINCT f FROM d) k JOIN d ON d.f <> k.f GROUP BY k.f),
-    r AS (SELECT y - ay - by * x AS ry, t - at - bt * x AS rt FROM d JOIN m USING (f)),
+    r AS (SELECT y - ic_y - sl_y * x AS ry, t - ic_t - sl_t * x AS rt FROM d JOIN m USING (f)),
     h AS (SELECT sum(rt * ry) / sum(rt * rt) AS theta, sum(rt * rt) AS tt, count(*) AS n FROM r)
     SELECT n, {near_sql('theta')} AS theta, {near_sql('sqrt(n * vp) / tt')} AS se, {near_sql('sqrt(vp / tt)')} AS se_simple
     FROM (SELECT n, theta, tt, var_pop((ry - theta * rt) * rt) AS vp FROM r, h GROUP BY ALL)""", "decisions"))

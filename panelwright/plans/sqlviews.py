@@ -318,3 +318,12 @@ view("effects", ["effects_0"], """
   SELECT *, theta_hat - 1.96 * std_error AS ci_lower_95, theta_hat + 1.96 * std_error AS ci_upper_95,
     theta_hat - 1.96 * std_error > 0 OR theta_hat + 1.96 * std_error < 0 AS significant,
     CASE WHEN theta_hat > 0 THEN 'positive' ELSE 'negative' END AS direction FROM effects_0""")
+
+view("pred_0", ["classified"], """
+  SELECT fund, isin, period, month_ord, CAST(CASE position_action WHEN 'SELL' THEN 0 WHEN 'HOLD' THEN 1 ELSE 2 END AS INT) AS actual FROM classified""")
+view("predictions", ["pred_0"], """
+  SELECT 'previous' AS model, *, coalesce(lag(actual) OVER (PARTITION BY fund, isin ORDER BY month_ord), 1) AS predicted FROM pred_0
+  UNION ALL SELECT 'rule', *, CAST((CAST(substr(isin, 4, 3) AS INT) * 7 + month_ord * 5 + length(fund)) % 3 AS INT) FROM pred_0
+  UNION ALL SELECT 'hold', *, 1 FROM pred_0""")
+view("returns", ["monthly_indicators"], """
+  SELECT symbol AS isin, period, monthly_return AS real_return FROM monthly_indicators WHERE substr(period, 6, 2) <> '07'""")

@@ -357,3 +357,28 @@ def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     return _once(spark, sf_dir, "effects", build)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deterministic predictors of every decision in long form."""
+
+    def build():
+        c = classified(spark, sf_dir).select("fund", "isin", "period", "month_ord", action_class(F.col("position_action")).alias("actual"))
+        w = W.partitionBy("fund", "isin").orderBy("month_ord")
+        n = F.substring("isin", 4, 3).cast("int")
+        guess = F.array(
+            F.struct(F.lit("previous").alias("model"), F.coalesce(F.lag("actual").over(w), F.lit(1)).alias("predicted")),
+            F.struct(F.lit("rule").alias("model"), F.pmod(n * 7 + F.col("month_ord") * 5 + F.length("fund"), F.lit(3)).cast("int").alias("predicted")),
+            F.struct(F.lit("hold").alias("model"), F.lit(1).alias("predicted")),
+        )
+        return c.withColumn("_g", guess).select("fund", "isin", "period", "month_ord", "actual", F.explode("_g").alias("_p")).select(
+            "_p.model", "fund", "isin", "period", "month_ord", "actual", "_p.predicted"
+        )
+
+    return _once(spark, sf_dir, "predictions", build)
+
+
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Realised return per stock and month, one row each; some months unknown."""
+    m = monthly_indicators(spark, sf_dir).select(F.col("symbol").alias("isin"), "period", F.col("monthly_return").alias("real_return"))
+    return m.where(F.substring("period", 6, 2) != "07")
