@@ -15,7 +15,9 @@ from panelwright.functions import cleaning as cl
 from panelwright.functions import periods as pr
 from panelwright.functions.encodings import action_class
 from panelwright.operators import bars as br
+from panelwright.operators import egonet as eg
 from panelwright.operators import granger as gr
+from panelwright.operators import graph as gp
 from panelwright.operators import regression as rg
 from panelwright.operators import positions as ps
 from panelwright.operators import sentiment as st
@@ -42,9 +44,9 @@ def sector_of(isin: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in SECTORS]), F.pmod(n, F.lit(len(SECTORS))) + 1)
 
 
-def _once(spark, sf_dir: str, name: str, build) -> DataFrame:
+def _once(spark, sf_dir: str, name: str, build, partition_by: str | None = None) -> DataFrame:
     got = is_staged(spark, name, sf_dir)
-    return got if got is not None else staged(build(), name, sf_dir)
+    return got if got is not None else staged(build(), name, sf_dir, partition_by)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,3 +384,69 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Realised return per stock and month, one row each; some months unknown."""
     m = monthly_indicators(spark, sf_dir).select(F.col("symbol").alias("isin"), "period", F.col("monthly_return").alias("real_return"))
     return m.where(F.substring("period", 6, 2) != "07")
+
+
+def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market regime per month on z-scored volatility and return."""
+
+    def build():
+        m = panel(spark, sf_dir).groupBy("period").agg(F.max("vix").alias("v"), F.max("index_return").alias("r"))
+        s = m.agg(F.avg("v").alias("mv"), F.stddev_samp("v").alias("sv"), F.avg("r").alias("mr"), F.stddev_samp("r").alias("sr"))
+        z = m.select(
+            "period",
+            ((F.col("v") - s.select("mv").scalar()) / s.select("sv").scalar()).alias("vix_z"),
+            ((F.col("r") - s.select("mr").scalar()) / s.select("sr").scalar()).alias("return_z"),
+        )
+        return gp.regimes(z, "vix_z", "return_z", "z")
+
+    return _once(spark, sf_dir, "regimes", build)
+
+
+def exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "exits", lambda: ps.detect_exits(classified(spark, sf_dir)))
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build():
+        t = gp.temporal_nodes(panel(spark, sf_dir), regimes(spark, sf_dir), ["pct_nav", "pe", "rsi"])
+        return t.unionByName(gp.causal_nodes(links(spark, sf_dir), parents(spark, sf_dir), effects(spark, sf_dir)))
+
+    return _once(spark, sf_dir, "graph_nodes", build, "label")
+
+
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build():
+        t = gp.temporal_edges(panel(spark, sf_dir), exits(spark, sf_dir), regimes(spark, sf_dir))
+        c = gp.causal_edges(links(spark, sf_dir), parents(spark, sf_dir), effects(spark, sf_dir))
+        return t.unionByName(c).unionByName(gp.bridge_edges(links(spark, sf_dir), panel(spark, sf_dir)))
+
+    return _once(spark, sf_dir, "graph_edges", build, "etype")
+
+
+def subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge list and shape key of every decision."""
+    d = eg.top_drivers(links(spark, sf_dir), eg.TOP_DRIVERS)
+    p = eg.top_parents(parents(spark, sf_dir))
+    h = panel(spark, sf_dir).select("fund", "isin", "period", "sector", "pct_nav")
+    return eg.shape_key(eg.decision_subgraphs(h, regimes(spark, sf_dir), d, p))
+
+
+def decision_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = eg.top_drivers(links(spark, sf_dir), eg.PATH_DRIVERS)
+    sure = parents(spark, sf_dir).where(F.col("confidence") >= 0.25)
+    return eg.decision_paths(panel(spark, sf_dir), regimes(spark, sf_dir), d, sure)
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape key of every decision's subgraph."""
+    return _once(spark, sf_dir, "shapes", lambda: subgraphs(spark, sf_dir).select("fund", "isin", "period", "shape"))
+
+
+def shape_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtree histograms of the distinct shapes."""
+
+    def build():
+        one = subgraphs(spark, sf_dir).groupBy("shape").agg(F.min("edges").alias("edges"))
+        return eg.wl_histograms(staged(one, "shape_edges", sf_dir), "shape")
+
+    return _once(spark, sf_dir, "shape_histograms", build)

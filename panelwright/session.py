@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame, name: str, scope: str) -> DataFrame:
+def staged(df: DataFrame, name: str, scope: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once per application to the shared folder and read it back.
 
     Used for the tables several consumers share. Readers get columnar files
@@ -54,7 +54,8 @@ def staged(df: DataFrame, name: str, scope: str) -> DataFrame:
     if key not in _STAGED:
         tag = hashlib.md5(scope.encode()).hexdigest()[:12]
         path = f"{shared_folder(spark)}/panelwright/{app}/{name}-{tag}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(_STAGED[key])
 
