@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pii", "exact_dedup"]
+MODULES = ["token_counts", "huffman", "pii", "exact_dedup", "packing"]
 
 
 def load() -> tuple[dict, dict[str, str]]:
