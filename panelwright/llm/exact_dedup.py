@@ -54,14 +54,18 @@ def decisions(docs: DataFrame, hash_of=F.md5) -> DataFrame:
     small = hashed.select("doc_id", "_hash")
     single = small.join(per_hash.where("_classes = 1"), "_hash").select("doc_id", "keep_id", "group_size", "text_sha256")
     collided = per_hash.where("_classes > 1").select("_hash")
+    if collided.isEmpty():  # no need to read the texts again
+        return _with_kept(single)
     apart = (
         hashed.join(collided, "_hash", "left_semi").withColumn("text_sha256", F.sha2("_text", 256))
         .join(classes.join(collided, "_hash", "left_semi"), ["_hash", "text_sha256"])
         .select("doc_id", "keep_id", "group_size", "text_sha256")
     )
-    return single.unionByName(apart).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    return _with_kept(single.unionByName(apart))
+
+
+def _with_kept(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
