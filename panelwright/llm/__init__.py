@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["token_counts", "huffman", "pii", "exact_dedup", "packing"]
+MODULES = ["token_counts", "huffman", "language", "pii", "exact_dedup", "packing"]
 
 
 def load() -> tuple[dict, dict[str, str]]:

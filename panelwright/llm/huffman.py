@@ -42,7 +42,7 @@ from panelwright.llm.tokens import encoder
 
 BLOCK = 1 << 17
 CHECK = 128
-MAX_LENGTH = 16
+MAX_LENGTH = 18
 TOGETHER = 8  # blocks decoded in step
 _MAGIC = b"PWH1"
 
