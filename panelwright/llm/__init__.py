@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["token_counts", "huffman", "language", "pii", "decontaminate", "exact_dedup", "licenses", "packing"]
+MODULES = ["token_counts", "huffman", "language", "pii", "decontaminate", "exact_dedup", "licenses", "packing", "near_dedup"]
 
 
 def load() -> tuple[dict, dict[str, str]]:
