@@ -69,9 +69,10 @@ def _with_kept(rows: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stays, all columns as they came."""
-    kept = decisions(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, all columns as they came."""
+    kept = decisions(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    same = docs["doc_id"].eqNullSafe(kept["_id"]) & (F.sha2(normalised(docs["text"]), 256) == kept["_sha"])
+    return docs.join(kept, same, "left_semi")
 
 
 SQL = r"""

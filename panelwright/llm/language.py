@@ -19,7 +19,8 @@ The number of n-grams is not bounded: every text is read whole, in steps.
 
 Edge cases: null text, or a text without a letter, is ``und`` with score 0 and
 rejected; ties between languages go to the first in alphabetical order;
-without labelled documents everything is ``und``; rows repeating a doc_id are
+without labelled documents everything is ``und`` and nothing with a letter is
+rejected; rows repeating a doc_id are
 predicted one by one; a null doc_id belongs to the training fold if labelled
 (crc32 of null is null, which is not 1) but never to the sample.
 """
@@ -94,8 +95,9 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and whether it is accepted."""
-        names, scores, accepted = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
-        usable = [i for i, t in enumerate(texts) if self.labels and has_letter(t)]
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        accepted = [has_letter(t) for t in texts]  # all of them if nothing could be learned
+        usable = [i for i, ok in enumerate(accepted) if ok and self.labels]
         own = [texts[i] for i in usable]
         for a, b in steps(own):
             z = self.logits(own[a:b]) / self.temperature
@@ -203,6 +205,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_map(own, run, schema)
 
 
+def accepted_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` the model does not reject, all columns as they came."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batch):
+        yield batch.filter(pa.array(shared.value.predict(batch.column(at).to_pylist())[2], pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return arrow_map(docs, run, docs.schema)
+
+
 def training_fold(docs: DataFrame) -> DataFrame:
     """Labelled documents that may be learned from."""
     return docs.where(crc_third() != 1).select("doc_id", "text", "lang").where("lang IS NOT NULL")
