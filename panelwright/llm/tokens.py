@@ -18,7 +18,7 @@ import numpy as np
 from panelwright.llm.common import mix, powers, steps
 
 # Pieces a worker remembers before it starts anew: bounds memory only.
-MOST_PIECES = 400_000
+MOST_PIECES = 1_500_000
 _LATIN = 0x250
 _CHAR_BASE = 0x2545F4914F6CDD1D
 _SUFFIX = {"s": 1, "t": 1, "m": 1, "d": 1, "re": 2, "ve": 2, "ll": 2}
@@ -75,6 +75,55 @@ def piece_starts(chars: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return np.flatnonzero(starts)
 
 
+class Numbers:
+    """Numbers of 64-bit hashes in order of arrival: open addressing on arrays."""
+
+    def __init__(self, bits: int = 16):
+        self.n = 0
+        self._clear(bits)
+
+    def _clear(self, bits: int) -> None:
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each hash, -1 if it is new."""
+        slot = hashes & self.mask
+        out = np.where(self.keys[slot] == hashes, self.values[slot], -2)
+        out[self.values[slot] < 0] = -1
+        left = np.flatnonzero(out == -2)
+        step = np.uint64(1)
+        while len(left):
+            slot = (hashes[left] + step) & self.mask
+            value = self.values[slot]
+            done = (value < 0) | (self.keys[slot] == hashes[left])
+            out[left[done]] = value[done]
+            left, step = left[~done], step + np.uint64(1)
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Distinct new hashes get the next numbers."""
+        if 2 * (self.n + len(hashes)) > len(self.keys):
+            held = self.values >= 0
+            old, number = self.keys[held], self.values[held]
+            self._clear(max(16, (4 * (self.n + len(hashes))).bit_length()))
+            self._place(old, number)
+        self._place(hashes, np.arange(self.n, self.n + len(hashes), dtype=np.int32))
+        self.n += len(hashes)
+
+    def _place(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        step = np.uint64(0)
+        while len(hashes):
+            slot = (hashes + step) & self.mask
+            free = np.flatnonzero(self.values[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.values[slot[won]] = hashes[won], numbers[won]
+            rest = np.ones(len(hashes), bool)
+            rest[won] = False
+            hashes, numbers, step = hashes[rest], numbers[rest], step + np.uint64(1)
+
+
 class Encoder:
     """Ids (and character spans, if asked for) of texts for one tokenizer file."""
 
@@ -90,34 +139,53 @@ class Encoder:
             and self.lib.normalizer is None and self.lib.post_processor is None
         )
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.bytes_of = np.zeros(self.lib.get_vocab_size() + 1, np.int64)
+        for token, i in self.lib.get_vocab().items():  # a byte-level token has one character a byte
+            self.bytes_of[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = Numbers()
         self.first, self.count, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
         self.pool, self.filled = np.zeros((4096, 3 if self.offsets else 1), np.int32), 0
 
     def vocabulary(self) -> int:
         return self.lib.get_vocab_size()
 
-    def _learn(self, pieces: list[str], hashes: list[int]) -> None:
-        coded = self.lib.encode_batch(pieces, add_special_tokens=False) if self.offsets else self.lib.encode_batch_fast(pieces, add_special_tokens=False)
-        ids = [c.ids for c in coded]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
-        if self.used + len(ids) > len(self.first):
-            more = max(len(self.first), len(ids))
-            self.first, self.count = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.first, self.count))
-        if self.filled + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros((max(len(self.pool), total), self.pool.shape[1]), np.int32)])
-        flat = self.pool[self.filled : self.filled + total]
-        flat[:, 0] = np.fromiter((i for x in ids for i in x), np.int32, total)
-        if self.offsets:
-            flat[:, 1:] = np.array([o for c in coded for o in c.offsets], np.int32).reshape(-1, 2)
-        at = slice(self.used, self.used + len(ids))
-        self.count[at], self.first[at] = lengths, self.filled + np.cumsum(lengths) - lengths
-        self.known.update(zip(hashes, range(self.used, self.used + len(ids))))
-        self.used, self.filled = self.used + len(ids), self.filled + total
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces; words after a blank are encoded as one text, which the library cuts there anyway."""
+        plain = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
+        rest = np.ones(len(pieces), bool)
+        rest[plain] = False
+        rest = np.flatnonzero(rest).tolist()
+        coded = self.lib.encode_batch([pieces[i] for i in rest], add_special_tokens=False) if rest else []
+        parts = [np.column_stack([np.array(c.ids, np.int32), np.array(c.offsets, np.int32).reshape(-1, 2)]) for c in coded]
+        order, lengths = rest, [len(c.ids) for c in coded]
+        for x in range(0, len(plain), 4096):
+            own = [pieces[i] for i in plain[x : x + 4096]]
+            text = "".join(own)
+            whole = self.lib.encode(text, add_special_tokens=False) if self.offsets else self.lib.encode_batch_fast([text], add_special_tokens=False)[0]
+            ids = np.array(whole.ids, np.int32)
+            size = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in own])
+            stop = np.searchsorted(np.cumsum(self.bytes_of[ids]), size) + 1
+            n = np.diff(stop, prepend=0)
+            rows = np.zeros((len(ids), 3), np.int32)
+            rows[:, 0] = ids
+            if self.offsets:
+                begin = np.cumsum([0, *map(len, own)])[:-1]
+                rows[:, 1:] = np.array(whole.offsets, np.int32) - np.repeat(begin, n)[:, None]
+            parts.append(rows)
+            order, lengths = order + plain[x : x + 4096], lengths + n.tolist()
+        flat = np.concatenate(parts)[:, : self.pool.shape[1]]
+        lengths, order = np.array(lengths, np.int64), np.array(order)
+        if self.used + len(pieces) > len(self.first):
+            more = max(len(self.first), len(pieces))
+            self.first, self.count = (np.concatenate([v, np.zeros(more, np.int64)]) for v in (self.first, self.count))
+        if self.filled + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros((max(len(self.pool), len(flat)), self.pool.shape[1]), np.int32)])
+        self.pool[self.filled : self.filled + len(flat)] = flat
+        self.count[self.used + order], self.first[self.used + order] = lengths, self.filled + np.cumsum(lengths) - lengths
+        self.used, self.filled = self.used + len(pieces), self.filled + len(flat)
 
     def _by_library(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.lib.encode_batch(texts, add_special_tokens=False)
@@ -136,15 +204,16 @@ class Encoder:
         total = np.zeros(len(chars) + 1, np.uint64)
         np.cumsum((chars.astype(np.uint64) + np.uint64(0x10001)) * up[:-1], out=total[1:])
         h = mix((total[b] - total[a]) * down[a])
-        u, where, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > MOST_PIECES:
+        if self.known.n > MOST_PIECES:
             self._forget()
-        names = u.tolist()
-        new = [i for i, x in enumerate(names) if x not in self.known]
-        if new:
-            s, e = a[where[new]].tolist(), b[where[new]].tolist()
-            self._learn([joined[x:y] for x, y in zip(s, e)], [names[i] for i in new])
-        known = np.fromiter((self.known[x] for x in names), np.int64, len(names))[back]
+        known = self.known.find(h)
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            new, where = np.unique(h[missing], return_index=True)
+            at = missing[where]
+            self._learn([joined[x:y] for x, y in zip(a[at].tolist(), b[at].tolist())])
+            self.known.add(new)
+            known[missing] = self.known.find(h[missing])
         n = self.count[known]
         stop = np.cumsum(n)
         token = np.repeat(self.first[known] - (stop - n), n) + np.arange(stop[-1])
@@ -165,7 +234,7 @@ class Encoder:
                 t = texts[i]
                 if not t:
                     out[i] = np.empty((0, width), np.int32)
-                elif self.by_piece and (t.isascii() or max(t) < chr(_LATIN)) and not any(s in t for s in self.special):
+                elif self.by_piece and _is_latin(t) and not any(s in t for s in self.special):
                     plain.append(i)
                 else:
                     rest.append(i)
@@ -176,6 +245,14 @@ class Encoder:
         return out if self.offsets else [o[:, 0] for o in out]
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return max(text) < chr(_LATIN)
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
