@@ -267,9 +267,10 @@ def _decoded(spark: SparkSession, folder: str, each, schema: str) -> DataFrame:
                     for name, n in zip(names, sizes.tolist()):
                         rows.append(each(name, start + a, ids[a : a + n]))
                         a += n
-                yield pa.RecordBatch.from_pydict({c: list(v) for c, v in zip(columns, zip(*rows))})
+                yield pa.RecordBatch.from_pydict({f.name: list(v) for f, v in zip(arrow, zip(*rows))}, schema=arrow)
 
-    columns = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "array<int>": pa.list_(pa.int32())}
+    arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
     return blocks.select("part", "first", "data").mapInArrow(run, schema)
 
 

@@ -149,10 +149,17 @@ def _sgd(texts, labels, n_labels, buckets, size, epochs, rate, seed):
 def fit(labelled: DataFrame, rows_per_label: int = 400, buckets: int = 1 << 16, size: int = 8, epochs: int = 6, rate: float = 3.0, seed: int = 7, margin: float = 0.8, most_threshold: float = 0.4) -> Model:
     """Train and calibrate on (doc_id, text, lang); samples 1.5 x rows_per_label rows a label."""
     usable = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    by_hash = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text")
+    by_hash = W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)), "doc_id")
     take = rows_per_label + rows_per_label // 2
-    keys = usable.select("doc_id", "lang", "text").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= take)
-    sample = [r for r in keys.orderBy("lang", "n").collect() if has_letter(r.text)]
+    # ids alone are ranked, and of a frequent label only those of low hash (some four
+    # times the sample); its texts are fetched by a table of take x labels rows
+    sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, 4.0 * take / n)] or [F.lit(""), F.lit(0.0)])[F.col("lang")]
+    low = usable.select("doc_id", "lang").where(part < rate)
+    ranked = low.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= take)
+    picked = usable.select("doc_id", "lang", "text").join(F.broadcast(ranked.dropDuplicates(["doc_id", "lang"])), ["doc_id", "lang"])
+    sample = [r for r in picked.orderBy("lang", "n", "text").collect() if has_letter(r.text)]
     names = sorted({r.lang for r in sample})
     if not names:
         return Model([], np.zeros((buckets, 0)), np.zeros(0))

@@ -86,8 +86,6 @@ class Index:
     def __init__(self, templates: dict[str, str], counts: dict[str, int], contain: float):
         self.names = sorted(templates)
         sets = {k: set(words_of(templates[k])) for k in self.names}
-        if not all(sets.values()) or sum(map(len, sets.values())) > MOST_TEMPLATE_WORDS:
-            raise ValueError("templates need words, and not more than a task can hold")
         self.words = sorted(set().union(*sets.values()))
         known = hashes_of(self.words)
         by = np.argsort(known)
@@ -128,6 +126,8 @@ class Index:
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, contain: float = CONTAIN) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     words = sorted({w for t in templates.values() for w in words_of(t)})
+    if not all(map(words_of, templates.values())) or len(words) > MOST_TEMPLATE_WORDS:
+        raise ValueError("templates need words, and not more than a task can hold")
     index = Index(templates, frequencies(docs, words), contain)
     runs = [(hashes_of(words_of(p)), label) for p, label in phrases.items()]
 
