@@ -155,8 +155,8 @@ def fit(labelled: DataFrame, rows_per_label: int = 400, buckets: int = 1 << 16,
     # times the sample); its texts are fetched by a table of take x labels rows
     sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, 4.0 * take / n)] or [F.lit(""), F.lit(0.0)])[F.col("lang")]
-    low = usable.select("doc_id", "lang").where(part < rate)
+    wanted = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, 4.0 * take / n)] or [F.lit(""), F.lit(0.0)])[F.col("lang")]
+    low = usable.select("doc_id", "lang").where(part < wanted)
     ranked = low.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= take)
     picked = usable.select("doc_id", "lang", "text").join(F.broadcast(ranked.dropDuplicates(["doc_id", "lang"])), ["doc_id", "lang"])
     sample = [r for r in picked.orderBy("lang", "n", "text").collect() if has_letter(r.text)]
