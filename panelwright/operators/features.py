@@ -55,10 +55,10 @@ def rolling_std(c: Column, w: W, n: int = 3, at_least: int = 2) -> Column:
     return F.when(F.count(c).over(frame) >= at_least, F.stddev_samp(c).over(frame))
 
 
-def relative_to_median(df: DataFrame, keys: list[str], value: str, out: str, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def relative_to_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Value over the group median; a zero median counts as missing."""
-    med = skew.quantiles(df, keys, value, [0.5], "_q", hot_rows)
-    df = df.join(med, keys, "left")
+    med = skew.quantiles(df, keys, value, [0.5], "_q")
+    df = skew.join_null_safe(df, med, keys, "left")
     return df.withColumn(out, ratio(F.col(value), F.element_at("_q", 1))).drop("_q")
 
 
@@ -146,14 +146,11 @@ def apply_zscore(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.withColumns(new)
 
 
-def winsor_bounds(df: DataFrame, cols: list[str], lo: float, hi: float, hot_rows: int = skew.HOT_ROWS) -> dict[str, tuple]:
-    """Exact lower and upper percentile of each column."""
-    if skew.largest_group(df, []) <= hot_rows:
-        row = df.agg(*[F.percentile(F.col(c), F.lit([lo, hi])).alias(c) for c in cols]).first()
-        got = {c: row[c] for c in cols}
-    else:
-        got = {c: skew.quantiles(df, [], c, [lo, hi], "q", hot_rows).first()["q"] for c in cols}
-    return {c: tuple(q) for c, q in got.items() if q}
+def winsor_bounds(df: DataFrame, cols: list[str], lo: float, hi: float) -> dict[str, tuple]:
+    """Exact lower and upper percentile of each column, all columns in one job."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols]))
+    long = df.select(cells.alias("_c")).select("_c.*")
+    return {r["column_name"]: tuple(r["q"]) for r in skew.quantiles(long, ["column_name"], "value", [lo, hi], "q").collect()}  # one row per column
 
 
 def winsorise(df: DataFrame, bounds: dict[str, tuple]) -> DataFrame:

@@ -199,14 +199,23 @@ def bridge_edges(links: DataFrame, periods: DataFrame) -> DataFrame:
     return edge(rows, "DRIVES_FUND_DECISION", ("CausalVariable", F.col("cause")), ("TimePeriod", F.col("period")), F.col("period"), {"dominant_lag": F.col("lag"), "beta": F.col("beta")}, {"cause_group": F.col("cause_group")})
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge by key: rows of ``new`` replace rows of ``old`` with the same key."""
-    same = [F.coalesce(F.col(f"o.{k}"), F.lit("\u0000")) == F.coalesce(F.col(f"n.{k}"), F.lit("\u0000")) for k in keys]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    kept = old.alias("o").join(new.select(*keys).distinct().alias("n"), cond, "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], latest: list[str] | None = None) -> DataFrame:
+    """Merge by key and set properties.
+
+    Of new rows with one key the last stays: by ``latest`` columns, then by
+    all others. A property it lacks or has as NULL keeps its old value; rows
+    of ``old`` without a new row stay. A NULL in a key is a value.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    order = [F.col(c).desc_nulls_last() for c in [*(latest or []), *rest]]
+    one = skew.keep_one(new, keys, order or [F.lit(1)]).withColumnsRenamed({c: f"_new_{c}" for c in new.columns})
+    same = F.lit(True)
+    for k in keys:
+        same = same & old[k].eqNullSafe(one[f"_new_{k}"])
+    marked = old.withColumn("_old", F.lit(True)).join(one.withColumn("_new", F.lit(True)), same, "full_outer")
+    cols = [*old.columns, *[c for c in new.columns if c not in old.columns]]
+    pick = {c: [x for x in ([f"_new_{c}"] if c in new.columns else []) + ([c] if c in old.columns else [])] for c in cols}
+    return marked.select(*[(F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(c)) if c in keys else F.coalesce(*pick[c])).alias(c) for c in cols])
 
 
 # --- counts, quality and questions -------------------------------------------------

@@ -13,14 +13,6 @@ from panelwright.functions.cleaning import text_key
 from panelwright.operators import skew
 from panelwright.session import require_columns
 
-# A lookup side is broadcast only when it is counted to be at most this long.
-BROADCAST_ROWS = 100_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only if a bounded count shows the side is small; otherwise left to the optimizer."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
 
 def merge_id_maps(a: DataFrame, b: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Full outer join of two maps on ``key``; values of ``a`` are preferred."""

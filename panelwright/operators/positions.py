@@ -131,17 +131,17 @@ def add_breadth(df: DataFrame) -> DataFrame:
     return skew.join_group_totals(df, ["isin", "period"], {"consensus_count": F.count("*")})
 
 
-def add_rank(df: DataFrame, hot_rows: int = skew.HOT_ROWS, top: int = 10) -> DataFrame:
+def add_rank(df: DataFrame, top: int = 10) -> DataFrame:
     """Rank of the weight inside the fund and month, and the top-ten flag."""
-    df = skew.rank_descending(df, ["fund", "period"], "pct_nav", "rank_in_fund", hot_rows)
+    df = skew.rank_descending(df, ["fund", "period"], "pct_nav", "rank_in_fund")
     return df.withColumn("is_top10", (F.col("rank_in_fund") <= top).cast("int"))
 
 
-def add_quintile(df: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def add_quintile(df: DataFrame) -> DataFrame:
     """Weight quintile inside the fund and month; 3 for the whole group if bin edges repeat."""
-    edges = skew.quantiles(df, ["fund", "period"], "pct_nav", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0], "_edges", hot_rows)
+    edges = skew.quantiles(df, ["fund", "period"], "pct_nav", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0], "_edges")
     edges = edges.withColumn("_edges", F.transform("_edges", lambda e: F.round(e, 9)))
-    df = df.join(edges, ["fund", "period"], "left")
+    df = skew.join_null_safe(df, edges, ["fund", "period"], "left")
     distinct = F.size(F.array_distinct("_edges")) == 6
     v = F.col("pct_nav")
     inner = F.size(F.filter(F.slice("_edges", 2, 4), lambda e: e < v)) + 1

@@ -44,7 +44,7 @@ def _share(c: str, cut: float) -> Column:
     return F.avg(F.when(F.col(c) > cut, 1.0).otherwise(0.0))
 
 
-def period_sentiment(df: DataFrame, keys: list[str], position: str, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def period_sentiment(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """All per-group moments in one aggregation; the median comes from exact group quantiles."""
     df = add_recency_weight(df, keys, position)
     w = F.col("confidence") * F.col("recency_weight")
@@ -68,8 +68,8 @@ def period_sentiment(df: DataFrame, keys: list[str], position: str, hot_rows: in
         _share("negative_prob", PLAIN).alias("negative_ratio"),
         F.when(F.sum(w) > 0, F.sum(w * F.col("compound")) / F.sum(w)).otherwise(F.avg("compound")).alias("sentiment_mean"),
     )
-    med = skew.quantiles(df, keys, "compound", [0.5], "_q", hot_rows)
-    agg = agg.join(med.select(*keys, F.element_at("_q", 1).alias("sentiment_median")), keys, "left")
+    med = skew.quantiles(df, keys, "compound", [0.5], "_q")
+    agg = skew.join_null_safe(agg, med.select(*keys, F.element_at("_q", 1).alias("sentiment_median")), keys, "left")
     return agg.withColumns(
         {
             "sentiment_extremity": (F.abs("max_sentiment") + F.abs("min_sentiment")) / 2.0,

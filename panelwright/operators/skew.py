@@ -2,9 +2,9 @@
 
 Three tools: totals joined back instead of whole-group windows, ranks and
 running totals computed over value buckets, and exact quantiles read off
-those running totals. The bucket bounds are plain literals taken from an
-approximate quantile sketch, so any task can be recomputed and land in the
-same bucket; the bounds only balance the work, they never change a result.
+those running totals. The bucket bounds come from an approximate quantile
+sketch, one subquery of the plan; they only balance the work and never change
+a result. NULL group keys are a group like any other.
 """
 
 from __future__ import annotations
@@ -13,8 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Groups up to this many rows are handled by one ordinary window partition.
-HOT_ROWS = 2_000_000
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which a NULL key meets a NULL key; keys appear once."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(right[f"_right_{k}"])
+    if not keys:
+        return left.join(right, how=how)
+    return left.join(right, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def join_group_totals(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
@@ -25,64 +33,51 @@ def join_group_totals(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -
     can be broadcast or skew-split by adaptive execution.
     """
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return df.join(totals, keys, "left")
-
+    return join_null_safe(df, totals, keys, "left")
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the biggest group (one partial aggregation)."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
 
+def add_bucket(df: DataFrame, value: str, out: str, buckets: int | None = None) -> DataFrame:
+    """Monotone bucket id: number of cut points of ``value`` below it, from a sketch.
 
-def bucket_bounds(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Distinct cut points of ``value`` from an approximate sketch."""
+    The sketch is a subquery of the plan, so nothing runs before the query does.
+    """
     n = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     probs = [i / n for i in range(1, n)]
-    cuts = df.agg(F.percentile_approx(F.col(value), probs, 10_000)).first()[0] or []
-    return sorted(set(float(c) for c in cuts))
+    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10_000)).scalar()
+    found = df.withColumn("_cuts", F.coalesce(cuts, F.array().cast("array<double>")))
+    return found.withColumn(out, F.size(F.filter("_cuts", lambda b: b < F.col(value)))).drop("_cuts")
 
 
-def bucket_of(value: Column, bounds: list[float]) -> Column:
-    """Number of bounds strictly below the value: a monotone bucket id."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.lit(bounds), lambda b: b < value))
-
-
-def running_counts(df: DataFrame, keys: list[str], value: str, weight: str, bounds: list[float]) -> DataFrame:
+def running_counts(df: DataFrame, keys: list[str], value: str, weight: str, buckets: int | None = None) -> DataFrame:
     """Inclusive running sum of ``weight`` over ascending ``value`` per group.
 
     Input must hold one row per (keys, value). Adds ``cum`` and ``group_total``.
     """
-    b = df.withColumn("_bucket", bucket_of(F.col(value), bounds))
+    b = add_bucket(df, value, "_bucket", buckets)
     per_bucket = b.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_bucket_total"))
-    over_buckets = W.partitionBy(*keys).orderBy("_bucket")  # at most len(bounds) + 1 rows per group
+    over_buckets = W.partitionBy(*keys).orderBy("_bucket")  # at most one row per bucket and group
     per_bucket = per_bucket.withColumn(
         "_before", F.sum("_bucket_total").over(over_buckets) - F.col("_bucket_total")
     ).withColumn("group_total", F.sum("_bucket_total").over(W.partitionBy(*keys)))
     inside = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     return (
-        b.join(per_bucket.drop("_bucket_total"), [*keys, "_bucket"])
+        join_null_safe(b, per_bucket.drop("_bucket_total"), [*keys, "_bucket"])
         .withColumn("cum", F.col("_before") + F.sum(weight).over(inside))
         .drop("_bucket", "_before")
     )
 
 
-def rank_descending(
-    df: DataFrame, keys: list[str], value: str, out: str, hot_rows: int = HOT_ROWS, buckets: int | None = None
-) -> DataFrame:
+def rank_descending(df: DataFrame, keys: list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:
     """Minimum rank of ``value`` (largest first) inside each group.
 
-    NULL values get no rank, as an average over nothing has none.
+    NULL values get no rank, as an average over nothing has none; NULL keys
+    are a group.
     """
-    if largest_group(df, keys) <= hot_rows:
-        w = W.partitionBy(*keys).orderBy(F.col(value).desc_nulls_last())
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w)).cast("long"))
     present = df.where(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    cum = running_counts(counts, keys, value, "_n", bucket_bounds(present, value, buckets))
+    cum = running_counts(counts, keys, value, "_n", buckets)
     ranks = cum.select(*keys, value, (F.col("group_total") - F.col("cum") + 1).cast("long").alias(out))
-    return df.join(ranks, [*keys, value], "left")
+    return join_null_safe(df, ranks, [*keys, value], "left")
 
 
 def quantiles(
@@ -91,21 +86,16 @@ def quantiles(
     value: str,
     probs: list[float],
     out: str,
-    hot_rows: int = HOT_ROWS,
     buckets: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group as an array column.
 
-    Small groups use the built-in ``percentile``. When a group is too large
-    for one aggregation buffer the values are counted, given running totals
-    over value buckets, and only the rows that cover a wanted position are kept.
+    Values are counted, given running totals over value buckets, and only the
+    rows that cover a wanted position are kept; no group is gathered anywhere.
     """
     present = df.where(F.col(value).isNotNull()).select(*keys, value)
-    if largest_group(present, keys) <= hot_rows:
-        agg = F.percentile(F.col(value), F.lit(probs)).alias(out)
-        return present.groupBy(*keys).agg(agg) if keys else present.agg(agg)
     counts = present.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    cum = running_counts(counts, keys, value, "_n", bucket_bounds(present, value, buckets))
+    cum = running_counts(counts, keys, value, "_n", buckets)
     at = F.explode(
         F.transform(
             F.sequence(F.lit(0), F.lit(len(probs) - 1)),

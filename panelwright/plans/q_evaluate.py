@@ -80,10 +80,11 @@ def fold_ranks(spark, sf):
     WITH r AS (SELECT model, period, accuracy, rank() OVER (PARTITION BY period ORDER BY accuracy DESC) + (count(*) OVER (PARTITION BY period, accuracy) - 1) / 2.0::DOUBLE AS rank FROM agree_fold),
     m AS (SELECT model, avg(rank) AS mr, count(*) AS n FROM r GROUP BY 1),
     t AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*) AS c FROM r GROUP BY period, accuracy))
-    SELECT count(*) AS k, max(n) AS n, {near_sql('(12.0 * max(n) / (count(*) * (count(*) + 1)) * sum(mr * mr) - 3 * max(n) * (count(*) + 1)) / (1 - max(ties) / (max(n) * count(*) * (count(*) * count(*) - 1)))')} AS statistic
+    SELECT count(*) AS k, max(n) AS n, {near_sql('(12.0 * max(n) / (count(*) * (count(*) + 1)) * sum(mr * mr) - 3 * max(n) * (count(*) + 1)) / (1 - max(ties) / (max(n) * count(*) * (count(*) * count(*) - 1)))')} AS statistic,
+      {near_sql('exp(-(12.0 * max(n) / (count(*) * (count(*) + 1)) * sum(mr * mr) - 3 * max(n) * (count(*) + 1)) / (1 - max(ties) / (max(n) * count(*) * (count(*) * count(*) - 1))) / 2)')} AS p_value
     FROM m, t""", "agree_fold"))
 def friedman(spark, sf):
-    """Tie-corrected rank statistic over folds (CS22)."""
+    """Tie-corrected rank statistic over folds; three models, so its tail is exp(-x / 2) (CS22)."""
     return rounded(ev.friedman(_folds(spark, sf), "accuracy"))
 
 
@@ -91,7 +92,9 @@ def friedman(spark, sf):
     WITH r AS (SELECT model, period, rank() OVER (PARTITION BY period ORDER BY accuracy DESC) + (count(*) OVER (PARTITION BY period, accuracy) - 1) / 2.0::DOUBLE AS rank FROM agree_fold),
     m AS (SELECT model, avg(rank) AS r, count(*) AS n FROM r GROUP BY 1)
     SELECT a.model AS model_a, b.model AS model_b, {near_sql('abs(a.r - b.r)')} AS rank_diff, {near_sql('2.343 * sqrt(12 / (6.0 * a.n))')} AS critical_diff,
-      abs(a.r - b.r) > 2.343 * sqrt(12 / (6.0 * a.n)) AS significant FROM m a JOIN m b ON a.model < b.model""", "agree_fold"))
+      abs(a.r - b.r) > 2.343 * sqrt(12 / (6.0 * a.n)) AND (SELECT exp(-(max(n) * sum(r * r) - 12 * max(n)) / (1 - max(ties) / (24.0 * max(n))) / 2) < 0.05
+        FROM m, (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*) AS c FROM agree_fold GROUP BY period, accuracy))) AS significant
+    FROM m a JOIN m b ON a.model < b.model""", "agree_fold"))
 def nemenyi(spark, sf):
     """Mean-rank differences against the critical difference (CS22)."""
     return rounded(ev.nemenyi(_folds(spark, sf), "accuracy"))

@@ -52,35 +52,51 @@ def _predicted(spark, sf):
 view("guess", ["panel"], """
   SELECT fund, isin, period, sector, pct_nav, CASE (CAST(substr(isin, 4, 3) AS INT) + month_ord) % 3 WHEN 2 THEN 'BUY' WHEN 1 THEN 'HOLD' ELSE 'SELL' END AS predicted_label,
     CASE month_ord % 11 """ + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate([*EVIDENCE, "macd_hist"])) + " END AS driver FROM panel")
-view("peer3", ["panel"], """
+view("peers5", ["panel"], """
   SELECT fund, isin, period, count(*) AS k, string_agg('- also holds ' || peer || ' (' || psec || ') at ' || printf('%.1f', w) || '%', chr(10) ORDER BY pos) AS t FROM (
     SELECT p.fund, p.isin, p.period, q.isin AS peer, q.sector AS psec, q.pct_nav AS w, row_number() OVER (PARTITION BY p.fund, p.isin, p.period ORDER BY q.pct_nav DESC, q.isin) AS pos
-    FROM panel p JOIN panel q ON q.fund = p.fund AND q.period = p.period AND q.isin <> p.isin) WHERE pos <= 3 GROUP BY ALL""")
+    FROM panel p JOIN panel q ON q.fund = p.fund AND q.period = p.period AND q.isin <> p.isin) WHERE pos <= 5 GROUP BY ALL""")
+
+
+view("cause_lines", ["links", "parents", "effects"], """
+  SELECT string_agg(t, chr(10) ORDER BY o, w DESC, t) AS lines FROM (
+    SELECT * FROM (SELECT 0 AS o, abs(beta) AS w, '- ' || cause || ' -> ' || target || ' (lag=' || lag || ', beta=' || printf('%+.4f', beta) || ')' AS t
+      FROM links WHERE significant AND link_type = 'causal' ORDER BY abs(beta) DESC, cause, target, lag LIMIT 8)
+    UNION ALL SELECT * FROM (SELECT 1, confidence, '- ' || variable || ' => ' || target || ' (confidence=' || printf('%.2f', confidence) || ')' FROM parents ORDER BY confidence DESC, variable, stratum LIMIT 5)
+    UNION ALL SELECT * FROM (SELECT 2, abs(theta_hat), '- ' || treatment || ' ~> ' || outcome || ' (theta=' || printf('%+.4f', theta_hat) || CASE WHEN significant THEN '*' ELSE '' END
+      || ', CI=[' || printf('%+.4f', ci_lower_95) || ', ' || printf('%+.4f', ci_upper_95) || '])' FROM effects ORDER BY abs(theta_hat) DESC, treatment, outcome LIMIT 5))""")
+
+
+def _explained(spark, sf, decisions):
+    """Explanations with eight links, five parents, five effects and five peers."""
+    links, effects = v.links(spark, sf), v.effects(spark, sf)
+    top = effects.orderBy(F.abs("theta_hat").desc(), "treatment", "outcome").limit(5)
+    return ex.explanations(decisions, v.regimes(spark, sf), eg.top_drivers(links, 8), eg.top_parents(v.parents(spark, sf), 5), top)
 
 
 @query("decision_explanations", sql("""
     SELECT g.fund, g.isin, g.period, predicted_label, coalesce(regime, 'UNKNOWN') AS regime, coalesce(k, 0) AS n_peers,
-      md5('EXPLANATION: ' || predicted_label || ' for ' || g.isin || chr(10) || 'Fund: ' || g.fund || ' | Month: ' || g.period || chr(10) || '1. MARKET REGIME: ' || coalesce(regime, 'UNKNOWN') || chr(10) || '3. PORTFOLIO CONTEXT' || chr(10) || coalesce(t, '')) AS text_md5
-    FROM guess g LEFT JOIN regimes r ON r.period = g.period LEFT JOIN peer3 p ON p.fund = g.fund AND p.isin = g.isin AND p.period = g.period""", "guess", "regimes", "peer3"))
+      md5(g.fund || ' in ' || g.period || ': ' || predicted_label || ' ' || g.isin || chr(10) || 'Market state: ' || coalesce(regime, 'UNKNOWN') || chr(10) || 'What moves such decisions:' || chr(10)
+        || coalesce(lines, '') || chr(10) || 'The fund besides:' || chr(10) || coalesce(t, '')) AS text_md5
+    FROM guess g CROSS JOIN cause_lines LEFT JOIN regimes r ON r.period = g.period LEFT JOIN peers5 p ON p.fund = g.fund AND p.isin = g.isin AND p.period = g.period""", "guess", "regimes", "peers5", "cause_lines"))
 def decision_explanations(spark, sf):
-    """Record and rendered text of every decision; the shared causal lines are left out of the digest (ML16, JN11)."""
-    l = v.links(spark, sf)
-    d = eg.top_drivers(l, 3)
-    p = eg.top_parents(v.parents(spark, sf), 3)
-    e = v.effects(spark, sf).orderBy(F.abs("theta_hat").desc(), "treatment", "outcome").limit(3)
-    x = ex.explanations(_predicted(spark, sf), v.regimes(spark, sf), d, p, e)
-    own = F.regexp_replace("text", "(?s)2\\. CAUSAL EVIDENCE\n.*\n(3\\. PORTFOLIO CONTEXT)", "$1")
-    return x.select("fund", "isin", "period", "predicted_label", "regime", F.size("peers").cast("long").alias("n_peers"), F.md5(own).alias("text_md5"))
+    """Record and whole rendered text of every decision (ML16, JN11)."""
+    x = _explained(spark, sf, _predicted(spark, sf))
+    return x.select("fund", "isin", "period", "predicted_label", "regime", F.size("peers").cast("long").alias("n_peers"), F.md5("text").alias("text_md5"))
 
 
 @query("counterfactual_texts", sql("""
-    WITH c AS (SELECT g.*, coalesce(dml_theta, granger_beta, 0) AS th, CASE WHEN ci_lower_95 IS NULL OR ci_upper_95 IS NULL THEN 'MODERATE (no CI available)' WHEN ci_lower_95 <= 0 AND ci_upper_95 >= 0 THEN 'LOW (CI crosses zero)' ELSE 'HIGH' END AS cf_confidence
-               FROM guess g JOIN evidence e ON e.variable = g.driver)
-    SELECT fund, isin, period, cf_confidence, CASE predicted_label WHEN 'SELL' THEN CASE WHEN th < 0 THEN 'positive' ELSE 'more moderate' END WHEN 'BUY' THEN CASE WHEN th > 0 THEN 'negative' ELSE 'more moderate' END ELSE 'different' END AS move FROM c""", "guess", "evidence"))
+    WITH c AS (SELECT g.*, e.variable AS known, coalesce(dml_theta, granger_beta) AS th, ci_lower_95 AS lo, ci_upper_95 AS hi,
+                 CASE predicted_label WHEN 'SELL' THEN 1 WHEN 'BUY' THEN -1 ELSE 0 END * sign(coalesce(dml_theta, granger_beta, 0)) AS m
+               FROM guess g LEFT JOIN evidence e ON e.variable = g.driver),
+    n AS (SELECT *, CASE WHEN known IS NULL THEN NULL WHEN lo IS NULL OR hi IS NULL THEN 'interval unknown' WHEN lo > 0 OR hi < 0 THEN 'interval excludes zero' ELSE 'interval includes zero' END AS cf_confidence,
+                 CASE WHEN known IS NULL THEN NULL WHEN m > 0 THEN 'higher' WHEN m < 0 THEN 'lower' ELSE 'different' END AS move FROM c)
+    SELECT fund, isin, period, cf_confidence, move,
+      md5('With ' || driver || ' ' || move || ', ' || predicted_label || ' on ' || isin || ' would be less likely (effect ' || coalesce(printf('%+.4f', th), 'unknown') || ', ' || cf_confidence || ')') AS text_md5 FROM n""", "guess", "evidence"))
 def counterfactual_texts(spark, sf):
-    """What-if direction and interval-based confidence (ML17)."""
+    """What-if direction, interval verdict and text of every decision, NULL without evidence (ML17)."""
     c = ex.counterfactuals(_predicted(spark, sf), _evidence(spark, sf))
-    return c.select("fund", "isin", "period", "cf_confidence", F.regexp_extract("counterfactual", "had been (.*?), the prediction", 1).alias("move"))
+    return c.select("fund", "isin", "period", "cf_confidence", F.col("cf_move").alias("move"), F.md5("counterfactual").alias("text_md5"))
 
 
 @query("explanation_quality", sql(f"""
@@ -88,11 +104,11 @@ def counterfactual_texts(spark, sf):
       {near_sql('avg((icp_confidence IS NOT NULL)::INT)')} AS pct_with_icp_evidence, {near_sql('avg((dml_theta IS NOT NULL)::INT)')} AS pct_with_dml_ci, {near_sql('avg((granger_beta IS NOT NULL)::INT)')} AS pct_with_granger,
       {near_sql('avg((e.variable IS NOT NULL)::INT)')} AS pct_with_counterfactual, {near_sql("avg((coalesce(regime, 'UNKNOWN') <> 'UNKNOWN')::INT)")} AS pct_with_regime_context, {near_sql('avg((k IS NOT NULL)::INT)')} AS pct_with_portfolio_context,
       {near_sql('(1 + avg((icp_confidence IS NOT NULL)::INT) + avg((dml_theta IS NOT NULL)::INT) + avg((e.variable IS NOT NULL)::INT)) / 4')} AS explanation_completeness
-    FROM guess g LEFT JOIN evidence e ON e.variable = g.driver LEFT JOIN regimes r ON r.period = g.period LEFT JOIN peer3 p ON p.fund = g.fund AND p.isin = g.isin AND p.period = g.period""", "guess", "evidence", "regimes", "peer3"))
+    FROM guess g LEFT JOIN evidence e ON e.variable = g.driver LEFT JOIN regimes r ON r.period = g.period LEFT JOIN peers5 p ON p.fund = g.fund AND p.isin = g.isin AND p.period = g.period""", "guess", "evidence", "regimes", "peers5"))
 def explanation_quality(spark, sf):
     """Faithfulness, evidence shares, completeness (ML18)."""
     d, ev = _predicted(spark, sf), _evidence(spark, sf)
-    x = ex.explanations(d, v.regimes(spark, sf), eg.top_drivers(v.links(spark, sf), 3), eg.top_parents(v.parents(spark, sf), 3), v.effects(spark, sf).limit(0))
+    x = _explained(spark, sf, d)
     cf = ex.counterfactuals(d, ev).select("fund", "isin", "period", "counterfactual")
     cited = d.select("fund", "isin", "period", F.col("driver").alias("variable"))
     return rounded(ex.quality(cited, ev, x.join(cf, ["fund", "isin", "period"], "left")))

@@ -25,10 +25,10 @@ def id_map_outer(spark, sf):
     l AS (SELECT isin, arg_min(symbol, s) AS symbol FROM m GROUP BY isin)
     SELECT h.isin, symbol, count(*) AS n FROM holdings h LEFT JOIN l USING (isin) GROUP BY ALL""", "holdings", "id_map_a", "id_map_b"))
 def first_source_lookup(spark, sf):
-    """Lookup where the earlier source wins, counted small before it is broadcast (JN3)."""
+    """Lookup where the earlier source wins; its size at run time decides how it is joined (JN3)."""
     look = jn.first_source_wins([v.id_map_a(spark, sf), v.id_map_b(spark, sf)], "isin", "symbol")
     h = v.holdings(spark, sf).select("isin")
-    return h.join(jn.small_side(look), "isin", "left").groupBy("isin", "symbol").agg(F.count("*").alias("n"))
+    return h.join(look, "isin", "left").groupBy("isin", "symbol").agg(F.count("*").alias("n"))
 
 
 @query("id_coverage", sql("""

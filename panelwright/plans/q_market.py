@@ -183,10 +183,10 @@ def macro_spine_fill(spark, sf):
 
 @query("last_value_per_month", """
     SELECT strftime(o_orderdate, '%Y-%m') AS period, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS gold_usd
-    FROM (SELECT o_orderdate, max(o_totalprice) AS o_totalprice, 0 AS o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1) GROUP BY 1""")
+    FROM (SELECT o_orderdate, max(o_totalprice) AS o_totalprice, 0 AS o_orderkey FROM orders GROUP BY 1) GROUP BY 1""")
 def last_value_per_month(spark, sf):
     """Date and price column found by name, last known value per month (SRC8)."""
-    o = v.table(spark, sf, "orders").where(F.col("o_orderkey") % 3 != 0)
+    o = v.table(spark, sf, "orders")
     days = o.groupBy("o_orderdate").agg(F.max("o_totalprice").alias("spot_price"))
     return ma.last_per_month(days.withColumn("Trade_Date", F.to_date("o_orderdate")).select("Trade_Date", "spot_price"), "gold_usd")
 

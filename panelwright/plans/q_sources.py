@@ -35,26 +35,26 @@ def csv_round_trip(spark, sf):
     SELECT CASE WHEN doc_id % 2 = 0 THEN 'named' ELSE 'file' END AS family, count(*) AS n, count(DISTINCT doc_id % 28) AS n_dates FROM documents
     WHERE regexp_full_match(text, '[\\x00-\\x7F]*', 's') AND doc_id % 28 BETWEEN 3 AND 20 GROUP BY 1""")
 def news_files(spark, sf):
-    """News files with two header families, aliases, day-first dates, ASCII text only (SRC2, SRC3, FLT2, FLT3, SET1)."""
+    """News files with two header families in one folder, aliases, day-first dates, ASCII text only (SRC2, SRC3, FLT2, FLT3, SET1)."""
     base = _folder(spark, "news")
     day = F.concat(F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("-03-2024"))
     d = v.headlines(spark, sf)
     opts = {"header": True, "escape": '"', "quoteAll": True}
     d.where(F.col("doc_id") % 2 == 0).select(day.alias("published"), F.col("text").alias(" Headline "), F.col("source").alias("Publisher"), F.col("isin").alias("ticker")).write.options(**opts).csv(f"{base}/a")
-    d.where(F.col("doc_id") % 2 == 1).select(F.col("text").alias("Title"), day.alias("DateTime")).write.options(**opts).csv(f"{base}/b")
+    d.where(F.col("doc_id") % 2 == 1).select(F.col("text").alias("Title"), day.alias("DateTime")).write.mode("append").options(**opts).csv(f"{base}/a")  # other header, same folder
     d.select("doc_id", "lang").write.options(**opts).csv(f"{base}/c")  # no heading column: skipped
-    n = fs.load_news(spark, [f"{base}/a", f"{base}/b", f"{base}/c"], "2024-03", "2024-03")
+    n = fs.load_news(spark, [f"{base}/a", f"{base}/c"], "2024-03", "2024-03", multi_line=True)
     n = n.where(F.dayofmonth("Date").between(4, 21))
     return n.groupBy(F.when(F.startswith("Symbol", F.lit("INE")), "named").otherwise("file").alias("family")).agg(F.count("*").alias("n"), F.countDistinct("Date").alias("n_dates"))
 
 
 @query("incremental_append", "SELECT event_type, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY event_type")
 def incremental_append(spark, sf):
-    """Second load adds only unseen keys (SRC10)."""
+    """Second load adds only unseen keys, once each although the batch repeats them (SRC10)."""
     base = _folder(spark, "inc")
     ev = v.table(spark, sf, "events").select("event_id", "event_type", "value")
     fs.append_new(ev.where(F.col("event_id") % 3 != 0), base, ["event_id"], "event_type")
-    t = fs.append_new(ev, base, ["event_id"], "event_type")
+    t = fs.append_new(ev.unionByName(ev), base, ["event_id"], "event_type")
     return t.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -69,14 +69,18 @@ def json_documents(spark, sf):
 
 
 @query("graph_upsert", sql(f"""
-    SELECT substr(period, 1, 4) AS year, count(*) AS n, {near_sql("sum(CASE WHEN period >= '1999-01' THEN pct_nav * 2 ELSE pct_nav END)", 3)} AS weight FROM panel GROUP BY 1""", "panel"))
+    SELECT substr(period, 1, 4) AS year, count(*) AS n, {near_sql("sum(CASE WHEN period >= '1999-01' THEN pct_nav * 2 ELSE pct_nav END)", 3)} AS weight,
+      count(*) FILTER (period < '2001-01') AS with_action FROM panel GROUP BY 1""", "panel"))
 def graph_upsert(spark, sf):
-    """Keyed merge of edges: new properties win, old edges stay (SNK3)."""
+    """Keyed merge of edges: of repeated new rows the last counts, properties a new row lacks stay (SNK3)."""
     path = _folder(spark, "upsert")
-    e = v.panel(spark, sf).select(F.lit("HOLDS").alias("etype"), F.col("fund").alias("src"), F.col("isin").alias("dst"), "period", F.col("pct_nav").alias("weight"))
-    fs.upsert_table(e.where(F.col("period") < "2001-01"), path, ["src", "dst", "period"], "etype")
-    t = fs.upsert_table(e.where(F.col("period") >= "1999-01").withColumn("weight", F.col("weight") * 2), path, ["src", "dst", "period"], "etype")
-    return rounded(t.groupBy(F.substring("period", 1, 4).alias("year")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight")), 3)
+    e = v.panel(spark, sf).select(F.lit("HOLDS").alias("etype"), F.col("fund").alias("src"), F.col("isin").alias("dst"), "period", F.col("pct_nav").alias("weight"), F.col("position_action").alias("action"))
+    keys = ["etype", "src", "dst", "period"]
+    fs.upsert_table(e.where(F.col("period") < "2001-01"), path, keys, "etype")
+    later = e.where(F.col("period") >= "1999-01").drop("action")
+    twice = later.withColumn("version", F.lit(1)).unionByName(later.withColumns({"weight": F.col("weight") * 2, "version": F.lit(2)}))
+    t = fs.upsert_table(twice, path, keys, "etype", ["version"])
+    return rounded(t.groupBy(F.substring("period", 1, 4).alias("year")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.count("action").alias("with_action")), 3)
 
 
 @query("union_by_name", sql("""
@@ -88,7 +92,7 @@ def union_by_name(spark, sf):
     return u.groupBy("symbol").agg(F.count("*").alias("n"), F.count("volume").alias("with_volume"))
 
 
-@query("stable_sample")
+@query("stable_sample", sql("SELECT fund, isin, period, position_action FROM classified ORDER BY md5(fund || '|' || isin || '|' || period || '|42'), fund, isin, period LIMIT 500", "classified"))
 def stable_sample(spark, sf):
     """Repeatable sample of 500 decisions (SMP1)."""
     return fs.stable_sample(v.classified(spark, sf).select("fund", "isin", "period", "position_action"), ["fund", "isin", "period"], 500)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import periods as pr
 from panelwright.functions.cleaning import is_ascii
 from panelwright.operators.macro import union_all
+from panelwright.operators.skew import keep_one
 
 # Header aliases of news files.
 NEWS_ALIASES = {
@@ -18,9 +19,9 @@ NEWS_ALIASES = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One delimited source with a stated schema."""
-    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True)
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """One delimited source with a stated schema; files with line feeds in fields need ``multi_line``."""
+    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=multi_line)
 
 
 def rename_by_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
@@ -43,23 +44,44 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str:
     raise FileNotFoundError(f"none of {paths} exists")
 
 
-def load_news(spark: SparkSession, folders: list[str], start: str | None = None, end: str | None = None) -> DataFrame:
+def files_by_header(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """Paths of a folder's text files by their first line (one row per file is collected)."""
+    lines = spark.read.text(folder).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), "value"
+    )
+    first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "row").alias("header"))
+    out: dict[str, list[str]] = {}
+    for r in first.orderBy("path").collect():
+        out.setdefault(r["header"], []).append(r["path"])
+    return out
+
+
+def load_news(spark: SparkSession, folders: list[str], start: str | None = None, end: str | None = None, multi_line: bool = False) -> DataFrame:
     """News files of several header families as (Symbol, Date, Heading, Source, file_name).
 
-    Files of a family share a folder and are read as one scan; a family
-    without a heading column is skipped, a missing symbol becomes the file
-    name, text with non-ASCII characters is dropped.
+    Files of one folder may differ in their headers: those with the same
+    header line are read as one scan. A header without a heading column is
+    skipped, one that has two columns for the same name is an error; a missing
+    symbol becomes the file name, text with non-ASCII characters is dropped.
+    Ask for ``multi_line`` if quoted fields hold line feeds; such files cannot
+    be split.
     """
     frames = []
     for folder in folders:
-        df = spark.read.csv(folder, header=True, escape='"', multiLine=True)
-        df = rename_by_aliases(df.withColumn("file_name", F.regexp_replace("_metadata.file_name", "\\.csv$", "")), NEWS_ALIASES)
-        if "Heading" not in df.columns:
-            continue
-        for c in ("Date", "Source", "Symbol"):
-            if c not in df.columns:
-                df = df.withColumn(c, F.col("file_name") if c == "Symbol" else F.lit(None).cast("string"))
-        frames.append(df.select("Symbol", "Date", "Heading", "Source", "file_name"))
+        for header, paths in files_by_header(spark, folder).items():
+            df = spark.read.csv(paths, header=True, escape='"', multiLine=multi_line)
+            df = rename_by_aliases(df.withColumn("file_name", F.regexp_replace("_metadata.file_name", "\\.csv$", "")), NEWS_ALIASES)
+            twice = {c for c in df.columns if df.columns.count(c) > 1}
+            if twice:
+                raise ValueError(f"header {header!r} in {folder} has several columns for {sorted(twice)}")
+            if "Heading" not in df.columns:
+                continue
+            for c in ("Date", "Source", "Symbol"):
+                if c not in df.columns:
+                    df = df.withColumn(c, F.col("file_name") if c == "Symbol" else F.lit(None).cast("string"))
+            frames.append(df.select("Symbol", "Date", "Heading", "Source", "file_name"))
+    if not frames:
+        raise ValueError(f"no file with a heading column in {folders}")
     out = union_all(frames).withColumn("Date", pr.parse_day_first(F.col("Date")))
     out = out.where(F.col("Date").isNotNull() & is_ascii(F.col("Heading")))
     if start and end:
@@ -73,10 +95,16 @@ def not_yet_processed(new: DataFrame, done: DataFrame, keys: list[str]) -> DataF
 
 
 def append_new(new: DataFrame, path: str, keys: list[str], partition_by: str) -> DataFrame:
-    """Append only unseen keys to a partitioned table and return the whole table."""
+    """Append only unseen keys to a partitioned table and return the whole table.
+
+    Of rows with one key in a batch the first by all columns stays. A key
+    belongs to one partition, so only partitions of the batch are read.
+    """
     spark = new.sparkSession
+    new = keep_one(new, keys, [F.col(c) for c in new.columns if c not in keys] or [F.lit(1)])
     if path_exists(spark, path):
-        new = not_yet_processed(new, spark.read.parquet(path), keys)
+        parts = new.select(partition_by).distinct()
+        new = not_yet_processed(new, spark.read.parquet(path).join(parts, partition_by, "left_semi"), keys)
     new.write.mode("append").partitionBy(partition_by).parquet(path)
     return spark.read.parquet(path)
 
@@ -94,7 +122,7 @@ def write_documents(df: DataFrame, path: str, body: Column | None = None) -> Non
     (out.write.mode("overwrite").json(path) if body is None else out.write.mode("overwrite").text(path))
 
 
-def upsert_table(new: DataFrame, path: str, keys: list[str], partition_by: str) -> DataFrame:
+def upsert_table(new: DataFrame, path: str, keys: list[str], partition_by: str, latest: list[str] | None = None) -> DataFrame:
     """Keyed merge into a table of nodes or edges; the merged copy goes to a new version folder."""
     from panelwright.operators.graph import upsert
 
@@ -102,11 +130,13 @@ def upsert_table(new: DataFrame, path: str, keys: list[str], partition_by: str)
     version = 0
     while path_exists(spark, f"{path}/v{version}"):
         version += 1
-    out = upsert(spark.read.parquet(f"{path}/v{version - 1}"), new, keys) if version else new
+    old = spark.read.parquet(f"{path}/v{version - 1}") if version else new.limit(0)
+    out = upsert(old, new, keys, latest)
     out.write.mode("overwrite").partitionBy(partition_by).parquet(f"{path}/v{version}")
     return spark.read.parquet(f"{path}/v{version}")
 
 
 def stable_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
-    """Repeatable random sample: the ``n`` rows with the smallest seeded hash."""
-    return df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).orderBy("_h", *keys).limit(n).drop("_h")
+    """Repeatable random sample: the ``n`` rows with the smallest seeded digest of their key."""
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed))))
+    return df.withColumn("_h", digest).orderBy("_h", *keys).limit(n).drop("_h")

@@ -26,20 +26,40 @@ def test_exits(spark):
     assert got == {"2020-05"}  # the last row of a is 3 months before the fund's last report
 
 
-def test_hot_paths_equal_plain_paths(spark):
-    df = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
-        F.round(F.rand(3) * 40, 1).alias("v"), "id",
-    ).cache()
-    plain = {r["id"]: r["r"] for r in skew.rank_descending(df, ["k"], "v", "r").collect()}
-    hot = {r["id"]: r["r"] for r in skew.rank_descending(df, ["k"], "v", "r", hot_rows=0, buckets=7).collect()}
-    assert plain == hot
-    p = [0.0, 0.1, 0.5, 0.77, 1.0]
-    a = {r["k"]: r["q"] for r in skew.quantiles(df, ["k"], "v", p, "q").collect()}
-    b = {r["k"]: r["q"] for r in skew.quantiles(df, ["k"], "v", p, "q", hot_rows=0, buckets=7).collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert all(abs(x - y) < 1e-9 for x, y in zip(a[k], b[k]))
+def _ranks_and_quantiles(rows, probs):
+    """By sorting, for (key, value, id) rows; NULL values have no rank."""
+    groups, ranks, quants = {}, {}, {}
+    for k, v, _ in rows:
+        groups.setdefault(k, []).extend([] if v is None else [v])
+    for k, v, i in rows:
+        ranks[i] = None if v is None else 1 + sum(x > v for x in groups[k])
+    for k, vs in groups.items():
+        vs = sorted(vs)
+        if vs:
+            at = [p * (len(vs) - 1) for p in probs]
+            quants[k] = [vs[int(a)] + (vs[min(int(a) + 1, len(vs) - 1)] - vs[int(a)]) * (a - int(a)) for a in at]
+    return ranks, quants
+
+
+def test_ranks_and_quantiles_with_hot_and_null_groups(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    rows = [("hot" if i % 10 else r.choice([None, "a", "b"]), None if i % 17 == 0 else round(r.random() * 40, 1), i) for i in range(2000)]
+    rows += [("only null", None, 2000), (None, None, 2001)]
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    ranks, quants = _ranks_and_quantiles(rows, probs)
+    memory = spark.createDataFrame(rows, "k string, v double, id long")
+    memory.write.parquet(f"{tmp_path}/t")
+    for df in (memory, spark.read.parquet(f"{tmp_path}/t")):
+        for buckets in (None, 7):
+            assert {x["id"]: x["r"] for x in skew.rank_descending(df, ["k"], "v", "r", buckets).collect()} == ranks
+            got = {x["k"]: x["q"] for x in skew.quantiles(df, ["k"], "v", probs, "q", buckets).collect()}
+            assert got.keys() == quants.keys()
+            assert all(abs(x - y) < 1e-9 for k in got for x, y in zip(got[k], quants[k]))
+    assert [round(x, 9) for x in skew.quantiles(memory, [], "v", [0.5], "q").first()["q"]] == [
+        round(x, 9) for x in _ranks_and_quantiles([("k", v, i) for _, v, i in rows], [0.5])[1]["k"]
+    ]
 
 
 def test_top_k_filters_before_the_shuffle(spark):
