@@ -179,10 +179,8 @@ def ols_from_moments(n: float, s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray
     return np.concatenate([[mean[0] - slopes @ mean[1:]], slopes]), max(rss, 0.0)
 
 
-def covariance_matrix(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, means, covariance) over complete rows; one aggregation, a k x k result on the driver."""
-    row = cross_moments(df.dropna(subset=cols), [], cols).first()
-    n = row["n"]
-    s = np.asarray(row["s"], dtype=float)
-    c = _unpack(np.asarray(row["p"], dtype=float), len(cols)) - np.outer(s, s) / max(n, 1)
-    return n, s / max(n, 1), c / max(n - 1, 1)
+def covariance_of(moments) -> np.ndarray:
+    """Sample covariance from one row of ``cross_moments``."""
+    n, s = moments["n"], np.asarray(moments["s"], dtype=float)
+    c = _unpack(np.asarray(moments["p"], dtype=float), len(s)) - np.outer(s, s) / max(n, 1)
+    return c / max(n - 1, 1)

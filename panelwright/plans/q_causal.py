@@ -56,11 +56,23 @@ def ks_between_groups(spark, sf):
 _CAND = ["rsi", "monthly_return", "pe", "sentiment_mean", "vix", "cpi", "volume_ratio"]
 
 
+_BLANKET = [*_CAND, "holding_tenure", "quantity", "market_cap"]
+
+
+@query("blanket_first_step", sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS variable, count({c}) AS n, round(corr({c}, action_ordinal), 6) + 0.0::DOUBLE AS r FROM decisions" for c in _BLANKET), "decisions"))
+def blanket_first_step(spark, sf):
+    """Correlation of every candidate with the decision over the rows that have both (CS8)."""
+    got = iv.complete_covariances(v.decisions(spark, sf), ["action_ordinal"], _BLANKET)
+    rows = [(c, n, float(m[0, 1] / (m[0, 0] * m[1, 1]) ** 0.5)) for c, (n, m) in got.items()]
+    return rounded(spark.createDataFrame(rows, "variable string, n long, r double"))
+
+
 @query("markov_blanket")
 def markov_blanket(spark, sf):
-    """Grow-shrink blanket of the decision from one covariance pass (CS8, CS9)."""
+    """Grow-shrink blanket of the decision, every test on all rows it can use (CS8, CS9)."""
     d = v.decisions(spark, sf)
-    found = iv.markov_blanket(d, "action_ordinal", [*_CAND, "holding_tenure", "quantity", "market_cap"])
+    found = iv.markov_blanket(d, "action_ordinal", _BLANKET)
     return spark.createDataFrame([(i, c) for i, c in enumerate(found)], "pos int, variable string")
 
 

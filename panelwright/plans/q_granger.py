@@ -38,17 +38,21 @@ def panel_links(spark, sf):
     return rounded(l.select("target", "cause", "cause_group", "lag", "link_type", "n_obs", "significant", *_LINK.split()), 5)
 
 
+_AR = " UNION ALL ".join(
+    f"SELECT {k} AS ar_order, count(*) AS n, round(sum(y * y), 4) AS yy, round(sum(y * a{k}), 4) AS y_last, round(sum(a{k} * a{k}), 4) AS last_last FROM l WHERE "
+    + " AND ".join(f"a{i} IS NOT NULL" for i in range(1, k + 1)) for k in range(1, 5))
+
+
 @query("autoregressive_orders", sql("""
     WITH d AS (SELECT isin, period, action_ordinal - avg(action_ordinal) OVER (PARTITION BY isin) AS y FROM pooled WHERE action_ordinal IS NOT NULL),
-    l AS (SELECT y, lag(y, 1) OVER w AS a1 FROM d WINDOW w AS (PARTITION BY isin ORDER BY period))
-    SELECT 1 AS ar_order, count(*) AS n, round(regr_slope(y, a1), 5) + 0.0::DOUBLE AS slope,
-      round(sum(y * y) - count(*) * avg(y) * avg(y) - regr_slope(y, a1) * regr_slope(y, a1) * regr_sxx(y, a1), 4) AS rss FROM l WHERE a1 IS NOT NULL""", "pooled"))
+    l AS (SELECT y, lag(y, 1) OVER w AS a1, lag(y, 2) OVER w AS a2, lag(y, 3) OVER w AS a3, lag(y, 4) OVER w AS a4 FROM d WINDOW w AS (PARTITION BY isin ORDER BY period))
+    """ + _AR, "pooled"))
 def autoregressive_orders(spark, sf):
-    """Moments of the first-order autoregression: slope and residual sum (CS2)."""
-    t = gr.ar_order_table(v.pooled(spark, sf), "action_ordinal", 1)
-    n, s, p = F.col("n"), lambda i: F.element_at("s", i), lambda i: F.element_at("p", i)
-    sxy, sxx, syy = p(2) - s(1) * s(2) / n, p(3) - s(2) * s(2) / n, p(1) - s(1) * s(1) / n
-    return t.select("ar_order", "n", (F.round(sxy / sxx, 5) + F.lit(0.0)).alias("slope"), F.round(syy - sxy * sxy / sxx, 4).alias("rss"))
+    """Sample size and moments of the autoregressions of all orders the choice is made from (CS2)."""
+    t = gr.ar_order_table(v.pooled(spark, sf), "action_ordinal")
+    # upper triangle of k + 1 columns: (y, y) first, (y, last) at place k + 1, (last, last) at the end
+    at = lambda i: F.round(F.element_at("p", i), 4) + F.lit(0.0)
+    return t.select("ar_order", "n", at(F.lit(1)).alias("yy"), at(F.col("ar_order") + 1).alias("y_last"), at(F.size("p")).alias("last_last"))
 
 
 @query("granger_sweep")
@@ -61,9 +65,10 @@ def granger_sweep(spark, sf):
 
 @query("regime_interactions")
 def regime_interactions(spark, sf):
-    """Regime product terms on the strongest links (CS4)."""
+    """Regime product terms on the thirty strongest links, with the orders chosen by AIC (CS4)."""
     p = v.pooled(spark, sf)
-    return rounded(gr.regime_interactions(p, v.links(spark, sf), {t: 1 for t in gr.TARGETS}, 5, 100))
+    ar = {t: gr.select_ar_order(p, t) for t in gr.TARGETS}
+    return rounded(gr.regime_interactions(p, v.links(spark, sf), ar, 30, 100))
 
 
 @query("durbin_watson", sql("""

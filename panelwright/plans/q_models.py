@@ -76,8 +76,8 @@ def style_labels(spark, sf):
 
 @query("walk_forward_model")
 def walk_forward_model(spark, sf):
-    """Expanding-window folds with a one-month embargo (ML2, ML9)."""
-    p = ln.walk_forward(v.decisions(spark, sf), FEATS, "action_ordinal", KEEP, "logistic", "logistic", 24, 20, 1, max_iter=20)
+    """Every expanding-window fold with a one-month embargo (ML2, ML9)."""
+    p = ln.walk_forward(v.decisions(spark, sf), FEATS, "action_ordinal", KEEP, "logistic", "logistic", embargo=1, max_iter=20)
     return rounded(ev.agreement(p, ["model", "period"]))
 
 
