@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.common import WHITE, Words, arrow_map, gram_hashes, partitions, read, run_hashes, signed, small_batches, stage, steps, texts_of
 from panelwright.llm.registry import query
 
-GRAM = 6
+GRAM = 8
 HOT = 1000
 SHARD_WORDS = 300_000
 _SECOND = 0xA24BAED4963EE407
