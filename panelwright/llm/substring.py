@@ -340,7 +340,7 @@ def repeated_words(docs: DataFrame, width: int = 20) -> tuple[DataFrame, DataFra
         .select("doc_id", "sha", "start", "n", F.when(is_first, F.col("mask")).otherwise(whole).alias("mask")).where("mask <> 0").distinct()
         .groupBy("doc_id", "sha").agg(F.collect_list(F.struct("start", "n", "mask")).alias("hits"))
     )
-    lost = stage(found.join(hits, ["doc_id", "sha"]).select("doc_id", "sha", "text", "hits"), "lost-words")
+    lost = found.join(hits, ["doc_id", "sha"]).select("doc_id", "sha", "text", "hits")
     first_of = firsts.select("sha", F.col("doc_id").alias("_first"))
     out = every.drop("anchors").join(first_of, "sha", "left")
     return out.withColumn("copy", F.coalesce(F.col("_first") < F.col("doc_id"), F.lit(False))).drop("_first"), lost
