@@ -104,15 +104,16 @@ def causal_link_edges(spark, sf):
     return e.select("src", "dst", F.col("props")["lag"].alias("lag"), F.col("attrs")["direction"].alias("direction"), F.col("attrs")["effect_size"].alias("effect_size"), near(F.col("props")["t_stat"], 4).alias("t_stat"))
 
 
-@query("isolated_nodes", sql("""
-    SELECT label, node_id FROM gnodes n WHERE NOT EXISTS (SELECT 1 FROM gedges e WHERE (e.src_label = n.label AND e.src = n.node_id) OR (e.dst_label = n.label AND e.dst = n.node_id))""".replace(
-    "(e.src_label = n.label AND e.src = n.node_id) OR (e.dst_label = n.label AND e.dst = n.node_id)", "e.src_label = n.label AND e.src = n.node_id) AND NOT EXISTS (SELECT 1 FROM gedges e WHERE e.dst_label = n.label AND e.dst = n.node_id"), "gnodes", "gedges"))
+_ALONE = "(SELECT label, node_id FROM gnodes EXCEPT (SELECT src_label, src FROM gedges UNION SELECT dst_label, dst FROM gedges))"
+
+
+@query("isolated_nodes", sql(f"SELECT label, node_id FROM {_ALONE}", "gnodes", "gedges"))
 def isolated_nodes(spark, sf):
     """Nodes without edges (JN15)."""
     return gp.isolated(v.graph_nodes(spark, sf), v.graph_edges(spark, sf)).select("label", "node_id")
 
 
-_ISO = "(SELECT count(*) FROM gnodes n WHERE NOT EXISTS (SELECT 1 FROM gedges e WHERE e.src_label = n.label AND e.src = n.node_id) AND NOT EXISTS (SELECT 1 FROM gedges e WHERE e.dst_label = n.label AND e.dst = n.node_id))"
+_ISO = f"(SELECT count(*) FROM {_ALONE})"
 view("m_struct", ["gnodes", "gedges"], f"""
   SELECT 'structural' AS category, metric, value FROM (SELECT v AS total_nodes, e AS total_edges, e / (v * (v - 1)) AS density, 2 * e / v AS average_degree,
       (SELECT count(DISTINCT label) FROM gnodes WHERE label IN ('Fund', 'Stock', 'Sector', 'TimePeriod', 'CausalVariable', 'CausalAnalysis', 'DomainConcept', 'MarketCapStratum')) / 8.0::DOUBLE AS schema_node_coverage,
