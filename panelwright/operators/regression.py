@@ -47,7 +47,7 @@ def sum_arrays(name: str, size: int) -> Column:
     return F.array(*[F.sum(F.element_at(name, i + 1)) for i in range(size)])
 
 
-def _unpack(flat: np.ndarray, k: int) -> np.ndarray:
+def unpack(flat: np.ndarray, k: int) -> np.ndarray:
     m = np.empty((k, k))
     for x, (i, j) in enumerate(_pairs(k)):
         m[i, j] = m[j, i] = flat[x]
@@ -61,7 +61,7 @@ def _solver(k: int):
     def solve(w: pd.Series) -> pd.Series:
         out = []
         for flat in w:
-            m = _unpack(np.asarray(flat, dtype=float), k)
+            m = unpack(np.asarray(flat, dtype=float), k)
             a, b = m[1:, 1:], m[1:, 0]
             d = np.sqrt(np.clip(np.diag(a), 0, None))
             ok = d > 1e-12 * max(1.0, d.max(initial=0.0))
@@ -85,7 +85,7 @@ def _inference(k: int):
     def infer(w: pd.Series, beta: pd.Series, meat: pd.Series, n: pd.Series, entities: pd.Series) -> pd.DataFrame:
         rows = []
         for flat, b, s, obs, groups in zip(w, beta, meat, n, entities):
-            m = _unpack(np.asarray(flat, dtype=float), k)
+            m = unpack(np.asarray(flat, dtype=float), k)
             b = np.array([np.nan if x is None else x for x in b], dtype=float)
             used = ~np.isnan(b)
             bz = np.where(used, b, 0.0)
@@ -95,7 +95,7 @@ def _inference(k: int):
             inv[np.ix_(used, used)] = np.linalg.pinv(a[np.ix_(used, used)])
             # Effects are nested in the clusters, so only the slopes use up degrees of freedom.
             scale = obs / max(obs - used.sum(), 1)
-            cov = scale * inv @ _unpack(np.asarray(s, dtype=float), k - 1) @ inv
+            cov = scale * inv @ unpack(np.asarray(s, dtype=float), k - 1) @ inv
             se = np.sqrt(np.clip(np.diag(cov), 0, None))
             with np.errstate(divide="ignore", invalid="ignore"):
                 t = np.where(used & (se > 0), b / se, np.nan)
@@ -171,7 +171,7 @@ def demean(df: DataFrame, entity: str, cols: list[str]) -> DataFrame:
 def ols_from_moments(n: float, s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, float]:
     """Coefficients (intercept first) and residual sum of squares of column 0 on the rest."""
     k = len(s)
-    m = _unpack(np.asarray(p, dtype=float), k)
+    m = unpack(np.asarray(p, dtype=float), k)
     c = m - np.outer(s, s) / n
     slopes = np.linalg.lstsq(c[1:, 1:], c[1:, 0], rcond=1e-12)[0]
     mean = np.asarray(s, dtype=float) / n
@@ -182,5 +182,5 @@ def ols_from_moments(n: float, s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray
 def covariance_of(moments) -> np.ndarray:
     """Sample covariance from one row of ``cross_moments``."""
     n, s = moments["n"], np.asarray(moments["s"], dtype=float)
-    c = _unpack(np.asarray(moments["p"], dtype=float), len(s)) - np.outer(s, s) / max(n, 1)
+    c = unpack(np.asarray(moments["p"], dtype=float), len(s)) - np.outer(s, s) / max(n, 1)
     return c / max(n - 1, 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelwright.operators import coherence as ch
 from panelwright.operators import evaluate as ev
 from panelwright.operators import features as ft
 from panelwright.operators import learners as ln
@@ -16,6 +17,7 @@ from panelwright.plans.sqlviews import sql, view
 
 FEATS = ["rsi", "monthly_return", "volume_ratio", "pe", "sentiment_mean", "vix", "holding_tenure"]
 KEEP = ["fund", "isin", "period"]
+ABLATED = [*FEATS, "pct_nav", "quantity", "market_cap", "cpi", "consensus_count", "macd_hist"]
 
 
 @query("class_weights", sql(f"""
@@ -92,13 +94,42 @@ def model_families(spark, sf):
     return rounded(ev.agreement(out.unionByName(ev.constant_model(out, "naive", 1), allowMissingColumns=True), ["model"]))
 
 
+_FOLDS = """
+    WITH p AS (SELECT period, row_number() OVER (ORDER BY period) AS i, count(*) AS n FROM decisions WHERE action_ordinal IS NOT NULL GROUP BY period),
+    f AS (SELECT period, n FROM p WHERE i > 24 AND n >= 5)
+"""
+
+
 @query("feature_ablation")
 def feature_ablation(spark, sf):
-    """Accuracy drop, paired t and effect size without each feature group (ML12, ML13)."""
+    """Accuracy drop, paired t and effect size without each feature group, every group on every fold (ML12)."""
+    g = ft.assign_groups(ABLATED)
+    sets = {"full": ABLATED, **{f"without_{n}": [c for c in ABLATED if c not in cols] for n, cols in g.items() if cols}}
+    return rounded(ln.ablation(v.decisions(spark, sf), sets, "action_ordinal", KEEP))
+
+
+@query("ablation_folds", sql(_FOLDS + "SELECT period, n, (SELECT count(*) FROM p b WHERE b.period < f.period) AS n_train_periods FROM f", "decisions"))
+def ablation_folds(spark, sf):
+    """Keys and sizes of the test folds and the length of their training windows (ML2)."""
+    p = ln.discriminant_folds(v.decisions(spark, sf), {"full": FEATS}, "action_ordinal", KEEP)
+    sizes = p.groupBy("period").agg(F.count("*").alias("n"))
+    periods = v.decisions(spark, sf).where("action_ordinal IS NOT NULL").select("period").distinct()
+    w = W.orderBy("period")  # one row per month
+    return sizes.join(periods.withColumn("n_train_periods", (F.row_number().over(w) - 1).cast("long")), "period")
+
+
+@query("variant_models")
+def variant_models(spark, sf):
+    """Models over the feature-set variants and confidence cuts, every fold (ML13)."""
     d = v.decisions(spark, sf)
-    g = ft.assign_groups(FEATS)
-    sets = {"full": FEATS, **{f"without_{n}": [c for c in FEATS if c not in cols] for n, cols in g.items() if cols and n in ("technical", "position")}}
-    return rounded(ln.ablation(d, sets, "action_ordinal", KEEP, "logistic", first=40, step=20, max_iter=10))
+    columns = set(d.columns)
+    blanket = spark.createDataFrame([(c,) for c in FEATS], "variable string")
+    rows = ch.feature_sets(v.links(spark, sf), v.parents(spark, sf), v.effects(spark, sf), blanket, spark.createDataFrame([(c,) for c in ABLATED], "variable string"))
+    sets: dict[str, list[str]] = {}
+    for r in rows.orderBy("feature_set", "variable").collect():  # variants x variables
+        if r["variable"] in columns and r["variable"] not in ("action_ordinal", "is_sell", "is_buy"):
+            sets.setdefault(r["feature_set"], []).append(r["variable"])
+    return rounded(ev.agreement(ln.discriminant_folds(d, sets, "action_ordinal", KEEP), ["model"]))
 
 
 @query("embedding_neighbours", """
