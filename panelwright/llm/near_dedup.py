@@ -37,17 +37,17 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import WHITE, Words, arrow_map, mix, read, run_hashes, signed, small_batches, stage, steps, texts_of
+from panelwright.llm.common import WHITE, Words, arrow_map, mix, partitions, read, run_hashes, signed, small_batches, stage, steps, texts_of
 from panelwright.llm.components import components
 from panelwright.llm.registry import query
 
 SLOTS, BITS = 64, 16
 TILE = 2048
+PAIRS = 1 << 17  # compared in one step: bounds memory only
 _RNG = np.random.default_rng(11)
 _XOR = _RNG.integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2)
 _MUL = _RNG.integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,38 +177,54 @@ def _remainder(members: DataFrame, classes: DataFrame, label: DataFrame, parts:
     rows = rows.withColumn("other", other).select(
         "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "root", "size", "sig"
     )
-    slots = [(c, int(s)) for c, part in enumerate(parts) for s in part]
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(f["sig"]), np.uint16).reshape(-1, SLOTS)
-        ids, root, size, side = (f[c].to_numpy() for c in ("id", "root", "size", "tile"))
-        key, same = f["key"].iloc[0], f["t1"].iloc[0] == f["t2"].iloc[0]
-        left = np.arange(len(f)) if same else np.flatnonzero(side == f["t1"].iloc[0])
-        right = left if same else np.flatnonzero(side != f["t1"].iloc[0])
-        own = chunk_keys(sig[:1], parts)[0]
-        at = int(np.flatnonzero(signed(own) == key)[0])
-        chunk, slot = slots[at]
-        before = [parts[c] for c in range(chunk)]
-        here = [s for s in parts[chunk].tolist() if s < slot]
-        out_a, out_b = [], []
-        for i in left.tolist():
-            r = right[right > i] if same else right
-            r = r[(root[r] != root[i]) & (100 * np.minimum(size[r], size[i]) >= percent * np.maximum(size[r], size[i]))]
-            if not len(r):
-                continue
-            differ = sig[r] != sig[i]
-            r, differ = r[differ.sum(1) <= threshold], differ[differ.sum(1) <= threshold]
-            first = np.ones(len(r), bool)  # no earlier key of theirs is equal
-            for part in before:
-                first &= differ[:, part].sum(1) > 1
-            for s in here:
-                first &= np.delete(differ[:, parts[chunk]], s - parts[chunk][0], 1).any(1)
-            r = r[first]
-            out_a.append(np.minimum(ids[r], ids[i]))
-            out_b.append(np.maximum(ids[r], ids[i]))
-        return pd.DataFrame({"a": np.concatenate([np.empty(0, np.int64), *out_a]), "b": np.concatenate([np.empty(0, np.int64), *out_b])})
-
-    return rows.groupBy("key", "t1", "t2").applyInPandas(run, "a long, b long")
+    first_slot = np.array([p[0] for p in parts])
+    slots = [(c, s == p[0]) for c, p in enumerate(parts) for s in p]
+    chunk_of, leading = np.array([c for c, _ in slots]), np.array([x for _, x in slots])
+
+    def compared(key, t1, t2, tile, ids, root, size, sig):
+        """Pairs of whole runs of equal (key, t1, t2)."""
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
+        start = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        end = np.append(start[1:], len(key))[run]
+        place = np.argmax(signed(chunk_keys(sig[start], parts)) == key[start][:, None], axis=1)[run]
+        after = end - np.arange(len(key)) - 1  # partners behind each row
+        total = np.cumsum(after)
+        a = 0
+        while a < len(key):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - after[a] + PAIRS, "right")))
+            n = after[a:b]
+            i = np.repeat(np.arange(a, b), n)
+            j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            good = (root[i] != root[j]) & ((t1[i] == t2[i]) | (tile[i] != tile[j])) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+            i, j = i[good], j[good]
+            differ = np.add.reduceat(sig[i] != sig[j], first_slot, axis=1, dtype=np.int64) if len(i) else np.zeros((0, len(parts)), np.int64)
+            chunk = chunk_of[place[i]]
+            own = differ[np.arange(len(i)), chunk]
+            earlier = np.cumsum(differ <= 1, axis=1)[np.arange(len(i)), chunk] > (own <= 1)
+            # the first key they share: no earlier chunk, and in this one the only slot that can be left out
+            good = (differ.sum(1) <= threshold) & ~earlier & ((own == 1) | leading[place[i]])
+            x, y = ids[i[good]], ids[j[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            a = b
+
+    def run(batches):
+        held = None
+        for b in batches:
+            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            now.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint16).reshape(-1, SLOTS))
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last run may go on
+            if cut:
+                yield from compared(*[x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if held is not None and len(held[0]):
+            yield from compared(*held)
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

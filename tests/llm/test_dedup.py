@@ -179,6 +179,7 @@ def families(seed):
 @pytest.mark.parametrize("shingle,percent,tile", [(3, 85, 2048), (5, 80, 3)])
 def test_near_groups(spark, monkeypatch, shingle, percent, tile):
     monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "PAIRS", 5 * tile)
     rows = odd_rows() + families(shingle)
     got = near_dedup.groups(table(spark, rows), shingle, percent).collect()
     assert sorted([tuple(r) for r in got], key=repr) == brute_near(rows, shingle, percent)
