@@ -383,6 +383,19 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep_text: bool = False) ->
     return out.select(*columns)
 
 
-@query("op8_repeated_passages")
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+k AS (SELECT doc_id, i, string_agg(word, ' ') OVER f AS g, count(*) OVER f AS c FROM t
+      WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, i, row(doc_id, i) > min(row(doc_id, i)) OVER (PARTITION BY g) AS late FROM k WHERE c = 20),
+v AS (SELECT t.doc_id, t.i, word, coalesce(bool_or(late) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+      FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.i = t.i),
+o AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM v GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM w LEFT JOIN o USING (doc_id)
+"""
+
+
+@query("op8_repeated_passages", SQL)
 def op8_repeated_passages(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents"))
