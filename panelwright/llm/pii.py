@@ -230,7 +230,44 @@ def sanitised(found: DataFrame) -> DataFrame:
     return found.withColumn("sanitised", F.aggregate(spans, zero, step, rest))
 
 
-@query("op4_private_terms")
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+k(kind, o, pat) AS (VALUES ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 2, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
+  ('card', 3, '[0-9](?:[\x20-]?[0-9])+'), ('phone', 4, '\+[0-9][\x20().0-9-]+[0-9]')),
+m AS (SELECT doc_id, x, kind, o, string_split_regex(x, pat) AS gaps, regexp_extract_all(x, pat) AS vals FROM d, k WHERE regexp_matches(x, pat)),
+s AS (SELECT doc_id, x, kind, o, vals[i] AS v, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:i - 1], lambda g: length(g))), 0))::BIGINT AS a
+      FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS i FROM m)),
+c AS (SELECT *, a + length(v) AS b, regexp_replace(v, '[^0-9]', '', 'g') AS dg FROM s),
+base AS MATERIALIZED (SELECT *, CASE WHEN kind IN ('card', 'phone') THEN dg ELSE lower(v) END AS entity FROM c WHERE CASE kind WHEN 'email' THEN true
+  WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN false ELSE coalesce(try_cast(ltrim(p, '0') AS INT), 0) <= 255 END))
+  WHEN 'phone' THEN length(dg) BETWEEN 9 AND 15
+  ELSE length(dg) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(dg)), lambda i: CASE WHEN i % 2 = 0 THEN substr(dg, length(dg) - i, 1)::INT
+    WHEN substr(dg, length(dg) - i, 1)::INT > 4 THEN substr(dg, length(dg) - i, 1)::INT * 2 - 9 ELSE substr(dg, length(dg) - i, 1)::INT * 2 END)) % 10 = 0 END),
+e AS (SELECT *, greatest(0, a - {REACH}) AS l0, substr(x, greatest(0, a - {REACH}) + 1, a - greatest(0, a - {REACH})) AS lf, substr(x, b + 1, {REACH}) AS rt FROM base),
+h AS (SELECT *, CASE WHEN l0 > 0 THEN length(lf) - length(regexp_replace(lf, '^{WORD}', '')) ELSE 0 END AS cut FROM e),
+side AS (SELECT doc_id, kind, entity, l0 + cut AS at0, substr(lf, cut + 1) AS part FROM h
+         UNION ALL SELECT doc_id, kind, entity, b, CASE WHEN length(rt) = {REACH} THEN regexp_replace(rt, '{WORD}$', '') ELSE rt END FROM h),
+w AS (SELECT *, string_split_regex(part, '{WORD}') AS gaps, regexp_extract_all(part, '{WORD}') AS vals FROM side),
+slot AS MATERIALIZED (SELECT doc_id, kind, entity, lower(vals[i]) AS term, st, st + length(vals[i]) AS en FROM (
+  SELECT *, (at0 + list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:i - 1], lambda g: length(g))), 0))::BIGINT AS st
+  FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS i FROM w))),
+n AS MATERIALIZED (SELECT term, count(*) AS n_t FROM (SELECT unnest(regexp_extract_all(lower(x), '{WORD}')) AS term FROM d) GROUP BY term),
+te AS (SELECT kind, entity, term, count(*) AS n_te, count(DISTINCT doc_id) AS docs FROM slot GROUP BY ALL),
+ne AS (SELECT kind, entity, sum(n_te) AS n_e FROM te GROUP BY ALL),
+bad AS (SELECT te.kind, te.entity, te.term FROM te JOIN ne USING (kind, entity) JOIN n USING (term)
+        WHERE docs >= {MIN_SEEN} AND (n_t::DOUBLE / n_te) * (n_t::DOUBLE / n_te) <= (SELECT sum(n_t) FROM n)::DOUBLE / n_e::DOUBLE),
+term AS (SELECT DISTINCT doc_id, st, en FROM slot JOIN bad USING (kind, entity, term)),
+every AS (SELECT doc_id, o, kind, a, b FROM base UNION ALL SELECT doc_id, 5, 'term', st, en FROM term),
+g AS (SELECT doc_id, count(*) FILTER (o = 1) AS n_email, count(*) FILTER (o = 2) AS n_ip, count(*) FILTER (o = 3) AS n_card, count(*) FILTER (o = 4) AS n_phone, count(*) FILTER (o = 5) AS n_term,
+        sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY o, a) FILTER (o < 5), '')) AS base_sha256, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY o, a, b) AS spans
+      FROM every GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op4_private_terms", SQL)
 def op4_private_terms(spark, sf_dir):
     found = find(read(spark, sf_dir, "documents"))
     base = F.concat(*[_named(k) for k in KINDS])
