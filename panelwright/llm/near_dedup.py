@@ -27,7 +27,7 @@ the smallest id of a group stays.
 
 Edge cases: null or empty texts, and texts without words, have an empty set
 and are linked with nothing (each its own component); rows repeating a doc_id
-or a text fall in one class; rows without doc_id take part in no link and are
+or a text are one node (an id with several texts has the links of each); rows without doc_id take part in no link and are
 returned with null component and kept; an empty table gives an empty result.
 """
 

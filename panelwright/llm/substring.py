@@ -85,10 +85,10 @@ def _first_pass(docs: DataFrame, width: int) -> DataFrame:
                 n.append(int(w.bounds[i + 1] - w.bounds[i]))
                 whole.append(hashlib.sha256(w.joined(w.bounds[i], w.bounds[i + 1])).hexdigest())
                 found.append(g[own].tobytes() + (own - w.bounds[i]).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(whole), pa.array(found, pa.binary())], ["doc_id", "n_words", "sha", "anchors"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(whole), pa.array(found, pa.binary())], ["doc_id", "text_hash", "n_words", "sha", "anchors"])
 
     small_batches(docs.sparkSession)
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_words long, sha string, anchors binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")), run, "doc_id long, text_hash long, n_words long, sha string, anchors binary")
 
 
 def _split(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -316,11 +316,11 @@ def repeated_words(docs: DataFrame, width: int = 20) -> tuple[DataFrame, DataFra
     ``copy``), and documents that lose words (text, hits: start, n, mask per segment)."""
     every = stage(_first_pass(docs, width), "first-pass")
     long = every.where(f"doc_id IS NOT NULL AND n_words >= {width}")
-    firsts = stage(long.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors")), "first-copies")
+    firsts = stage(long.groupBy("sha").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("anchors").alias("anchors")).select("sha", "one.*", "anchors"), "first-copies")
     marks = stage(_repeated(firsts), "marks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    own = firsts.select("doc_id", "sha").join(marks, "doc_id")
-    found = stage(texts.join(own, "doc_id").select("doc_id", "sha", "text", "places"), "marked-texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("text IS NOT NULL")
+    own = firsts.select("doc_id", "text_hash", "sha").join(marks, "doc_id")
+    found = stage(texts.join(own, ["doc_id", "text_hash"]).select("doc_id", "sha", "text", "places"), "marked-texts")
     pieces = stage(_segments(found, width), "segments")
     distinct = stage(
         pieces.groupBy("hi", "lo").agg(
@@ -342,7 +342,7 @@ def repeated_words(docs: DataFrame, width: int = 20) -> tuple[DataFrame, DataFra
     )
     lost = found.join(hits, ["doc_id", "sha"]).select("doc_id", "sha", "text", "hits")
     first_of = firsts.select("sha", F.col("doc_id").alias("_first"))
-    out = every.drop("anchors").join(first_of, "sha", "left")
+    out = every.drop("anchors", "text_hash").join(first_of, "sha", "left")
     return out.withColumn("copy", F.coalesce(F.col("_first") < F.col("doc_id"), F.lit(False))).drop("_first"), lost
 
 

@@ -84,6 +84,7 @@ def passages(seed):
             a = r.randint(0, 6)
             w += s[a : len(s) - r.randint(0, 6)]
         rows.append((i, " ".join(w)))
+    rows += [(60, rows[5][1] + " tail"), (60, "head " + rows[6][1]), (61, rows[7][1]), (61, rows[7][1].replace(" ", "  "))]
     return rows + [(50, rows[3][1]), (51, rows[3][1].replace(" ", "\n")), (52, "z " * 90), (53, " ".join(shared[2] * 3))]
 
 
