@@ -20,8 +20,9 @@ the smallest id of a group stays.
    confirmed on the full sets. Components of the links follow.
 4. Exact remainder: buckets whose members are not yet in one component are cut
    into tiles of at most TILE members, and pairs from different components are
-   compared by signature in all pairs of tiles, each pair in the first key it
-   shares. What passes is confirmed on the full sets, and the components are
+   compared in all pairs of tiles, each pair in the first key it shares, by
+   their signatures and by a finer one of FINE slots, again within five
+   deviations. What passes is confirmed on the full sets, and the components are
    taken again over all links. So no link that would join two components is
    lost, while a group that holds together costs one comparison per member.
 
@@ -46,11 +47,14 @@ from panelwright.llm.components import components
 from panelwright.llm.registry import query
 
 SLOTS, BITS = 64, 16
+FINE = 512  # slots of eight bits, for the few documents of the exact remainder
 TILE = 2048
 PAIRS = 1 << 17  # compared in one step: bounds memory only
 _RNG = np.random.default_rng(11)
 _XOR = _RNG.integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2)
 _MUL = _RNG.integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_XOR = _RNG.integers(0, 2**63, FINE, dtype=np.uint64) * np.uint64(2)
+_FINE_MUL = _RNG.integers(0, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def distance_threshold(percent: int, slots: int = SLOTS) -> int:
@@ -78,19 +82,27 @@ def shingle_sets(texts: list[str], shingle: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """b-bit MinHash values, one row per set (zeros for empty sets)."""
-    out = np.zeros((len(sets), SLOTS), np.uint16)
+def _minhash(sets: list[np.ndarray], xor: np.ndarray, mul: np.ndarray, kind) -> np.ndarray:
+    out = np.zeros((len(sets), len(xor)), kind)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         flat = np.concatenate([sets[i] for i in full])
         edge = np.cumsum([0] + [len(sets[i]) for i in full[:-1]])
-        for k in range(SLOTS):
-            low = np.minimum.reduceat((flat ^ _XOR[k]) * _MUL[k], edge)
-            out[full, k] = (mix(low) & np.uint64((1 << BITS) - 1)).astype(np.uint16)
+        for k in range(len(xor)):
+            low = np.minimum.reduceat((flat ^ xor[k]) * mul[k], edge)
+            out[full, k] = (mix(low) & np.uint64(np.iinfo(kind).max)).astype(kind)
     return out
 
 
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """b-bit MinHash values, one row per set (zeros for empty sets)."""
+    return _minhash(sets, _XOR, _MUL, np.uint16)
+
+
+def fine_signatures(sets: list[np.ndarray]) -> np.ndarray:
+    return _minhash(sets, _FINE_XOR, _FINE_MUL, np.uint8)
+
+
 def chunk_keys(sig: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
     """One column per (chunk, slot left out)."""
     values = mix(sig.astype(np.uint64) + (np.arange(sig.shape[1], dtype=np.uint64) << np.uint64(32)) + np.uint64(1))
@@ -141,16 +153,26 @@ def _close(pairs: DataFrame, classes: DataFrame, threshold: int, percent: int) -
     return arrow_map(both.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs whose full sets meet the threshold. ``docs``: one row per class."""
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int, fine: bool = False) -> DataFrame:
+    """(id, set, fine signature or null) of the documents named in ``ids``.
 
-    def sets(batch):
-        texts = texts_of(batch.column(1))
-        rows = [s.tobytes() for a, b in steps(texts) for s in shingle_sets(texts[a:b], shingle)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["id", "set"])
+    The join is a sort-merge join at every size, so its cost follows the texts.
+    """
+
+    def run(batch):
+        texts, rows, more = texts_of(batch.column(1)), [], []
+        for a, b in steps(texts):
+            sets = shingle_sets(texts[a:b], shingle)
+            rows += [s.tobytes() for s in sets]
+            more += [x.tobytes() for x in fine_signatures(sets)] if fine else [None] * len(sets)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array(more, pa.binary())], ["id", "set", "fine"])
+
+    named = docs.join(ids.distinct().hint("merge"), "id", "left_semi").select("id", "text")
+    return stage(arrow_map(named, run, "id long, set binary, fine binary"), "sets", "uncompressed")
 
-    whole = stage(arrow_map(docs.join(named, "id", "left_semi").select("id", "text"), sets, "id long, set binary"), "sets", "uncompressed")
+
+def _confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets meet the threshold."""
 
     def run(batch):
         good = []
@@ -166,22 +188,28 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return arrow_map(pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def _remainder(members: DataFrame, classes: DataFrame, label: DataFrame, parts: list[np.ndarray], threshold: int, percent: int) -> DataFrame:
-    """Pairs from different components that share a bucket and pass the signature."""
+def _split_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, id, root, n) of buckets whose members are in several components."""
     labelled = members.join(label, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     split = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    rows = labelled.join(split.select("key", "n"), "key").join(classes.select("id", F.col("n").alias("size"), "sig"), "id")
+    return labelled.join(split.select("key", "n"), "key")
+
+
+def _remainder(rows: DataFrame, classes: DataFrame, whole: DataFrame, parts: list[np.ndarray], threshold: int, percent: int) -> DataFrame:
+    """Pairs from different components that share a bucket and pass both signatures."""
+    rows = rows.join(classes.select("id", F.col("n").alias("size"), "sig"), "id").join(whole.select("id", "fine").dropDuplicates(["id"]), "id")
+    fine_threshold = distance_threshold(percent, FINE)
     tile = F.pmod(F.xxhash64("id"), F.col("tiles"))
     rows = rows.withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", tile)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     rows = rows.withColumn("other", other).select(
-        "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "root", "size", "sig"
+        "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "root", "size", "sig", "fine"
     )
     first_slot = np.array([p[0] for p in parts])
     slots = [(c, s == p[0]) for c, p in enumerate(parts) for s in p]
     chunk_of, leading = np.array([c for c, _ in slots]), np.array([x for _, x in slots])
 
-    def compared(key, t1, t2, tile, ids, root, size, sig):
+    def compared(key, t1, t2, tile, ids, root, size, sig, fine):
         """Pairs of whole runs of equal (key, t1, t2)."""
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
@@ -205,6 +233,11 @@ def _remainder(members: DataFrame, classes: DataFrame, label: DataFrame, parts:
             earlier = np.cumsum(differ <= 1, axis=1)[np.arange(len(i)), chunk] > (own <= 1)
             # the first key they share: no earlier chunk, and in this one the only slot that can be left out
             good = (differ.sum(1) <= threshold) & ~earlier & ((own == 1) | leading[place[i]])
+            i, j = i[good], j[good]
+            for k in range(0, len(i), 1 << 14):
+                part = slice(k, k + (1 << 14))
+                good[: len(i)][part] = (fine[i[part]] != fine[j[part]]).sum(1) <= fine_threshold
+            good = good[: len(i)]
             x, y = ids[i[good]], ids[j[good]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
             a = b
@@ -214,6 +247,7 @@ def _remainder(members: DataFrame, classes: DataFrame, label: DataFrame, parts:
         for b in batches:
             now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
             now.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint16).reshape(-1, SLOTS))
+            now.append(np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint8).reshape(-1, FINE))
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last run may go on
@@ -244,12 +278,14 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     stars = members.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     tried = stage(_close(stage(stars, "stars"), classes, threshold, percent), "tried")
-    links = stage(_confirmed(tried, texts, shingle, percent), "links")
+    both = lambda p: p.select(F.col("a").alias("id")).union(p.select("b"))
+    links = stage(_confirmed(tried, _sets(texts, both(tried), shingle), percent), "links")
     label = components(links).withColumnRenamed("node", "id")
-    rest = _remainder(members, classes, label, parts, threshold, percent).join(tried, ["a", "b"], "left_anti")
-    rest = stage(rest, "rest")
+    open_buckets = stage(_split_buckets(members, label), "open-buckets", "lz4")
+    whole = _sets(texts, open_buckets.select("id"), shingle, fine=True)
+    rest = stage(_remainder(open_buckets, classes, whole, parts, threshold, percent).join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = stage(_confirmed(rest, texts, shingle, percent), "more-links")
+        more = stage(_confirmed(rest, whole, percent), "more-links")
         if not more.isEmpty():
             label = components(links.unionByName(more)).withColumnRenamed("node", "id")
     root = stage(classes.join(label, "id", "left").select("print", F.coalesce("root", "id").alias("root")), "roots")
