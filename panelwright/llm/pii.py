@@ -49,6 +49,7 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 REACH = 64  # characters either side of a mention
 MIN_SEEN = 3  # documents
 WORD = r"[\p{L}\p{N}_]+"
+CHUNK = 128  # words of one running length
 
 
 def _digits(value: Column) -> Column:
@@ -206,6 +207,115 @@ def find(docs: DataFrame) -> DataFrame:
     return spans.join(per_row, same, "left").withColumn("term", F.coalesce("term", none)).drop("_h", "_id", "_hash")
 
 
+# --- evidence without a floor, applied to every occurrence --------------------
+
+
+def _blanked(spans: DataFrame) -> DataFrame:
+    """``text`` with every base span replaced by as many spaces, so that places stay."""
+    every = F.array_sort(F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
+        hole = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["at"])))
+        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], gap, hole).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+    return spans.withColumn("text", F.when(F.size(every) > 0, F.aggregate(every, zero, step, rest)).otherwise(F.col("text")))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """Every different text once: doc_id (null), _h, text with blanked base spans, base spans."""
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
+    return _blanked(base_spans(texts.select(F.lit(None).cast("long").alias("doc_id"), "text")).withColumn("_h", F.xxhash64("text")))
+
+
+def _words(text: Column) -> Column:
+    """The words of a text, in order, in lower case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
+
+
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(term, n_t slots, d_t texts) over different texts."""
+    slots = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    holders = texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("d_t"))
+    return slots.join(holders, "term")
+
+
+def _shares(pair: DataFrame, entity: DataFrame, counts: DataFrame, n_t: str, total: int) -> DataFrame:
+    """(term, action) of every pair whose share passes; ``pair`` has n_te, ``entity`` n_e."""
+    ratio = F.col(n_t).cast("double") / F.col("n_te").cast("double")
+    spread = F.lit(float(total)) / F.col("n_e").cast("double")
+    action = F.when(ratio * ratio * ratio * ratio <= spread, "remove").when(ratio * ratio <= spread, "generalise")
+    return pair.join(entity, ["kind", "entity"]).join(counts, "term").select("term", action.alias("action")).where("action IS NOT NULL")
+
+
+def near_terms(texts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(term, action) by the slots near mentions, each slot once for an entity."""
+    slots = contexts(texts).select("_h", "kind", "entity", "term", "start").distinct()
+    pair = stage(slots.groupBy("kind", "entity", "term").agg(F.count("*").alias("n_te")), "pii-near")
+    return _shares(pair, pair.groupBy("kind", "entity").agg(F.sum("n_te").alias("n_e")), counts, "n_t", total)
+
+
+def _once(value: Column, fn) -> Column:
+    """``fn(value)`` with the value worked out once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+def _placed(text: Column, actions: Column) -> Column:
+    """Array of (start, end, action): every word of ``text`` that is a key of the map.
+
+    Running lengths are taken in runs of CHUNK words and then over the runs,
+    because an array that grows word by word costs the square of the words.
+    """
+    spans = "array<struct<start:int,end:int,action:string>>"
+
+    def piece(v, gap):  # behind the last gap there is no word
+        size = F.coalesce(F.length(v), F.lit(0))
+        return F.struct((F.length(gap) + size).alias("step"), size.alias("size"), F.when(v.isNotNull(), F.element_at(actions, F.lower(v))).alias("action"))
+
+    def run(pieces, i):
+        def step(acc, p):
+            b = acc["at"] + p["step"]
+            one = F.struct((b - p["size"]).alias("start"), b.alias("end"), p["action"].alias("action"))
+            return F.struct(b.alias("at"), F.when(p["action"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(one))).alias("spans"))
+
+        return F.aggregate(F.slice(pieces, i, F.lit(CHUNK)), F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("spans")), step)
+
+    def add(acc, r):
+        return F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+
+    def shifted(runs, starts):
+        def one(r, k):
+            return _once(F.get(starts, k), lambda at: F.transform(r["spans"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["action"].alias("action"))))
+
+        return F.flatten(F.transform(runs, one))
+
+    def joined(runs):
+        starts = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), add, lambda acc: acc["starts"])
+        return _once(starts, lambda st: shifted(runs, st))
+
+    pieces = F.zip_with(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1), piece)
+    return _once(pieces, lambda ps: _once(F.transform(F.sequence(F.lit(1), F.size(ps), F.lit(CHUNK)), lambda i: run(ps, i)), joined))
+
+
+def find_everywhere(docs: DataFrame) -> DataFrame:
+    """As ``find``, but a term needs no least number of documents, evidence comes
+    from different texts only, and a disclosing term is marked at all its
+    occurrences in all documents (outside base spans, which are masked anyway).
+    """
+    texts = stage(distinct_texts(docs), "pii-texts")
+    counts = stage(term_counts(texts), "pii-counts")
+    total = counts.agg(F.coalesce(F.sum("n_t"), F.lit(0))).first()[0]
+    bad = stage(near_terms(texts, counts, total).groupBy("term").agg(F.max("action").alias("action")), "pii-disclosing")
+    held = texts.select("_h", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(bad, "term")
+    actions = held.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_actions"))
+    placed = stage(texts.select("_h", "text").join(actions, "_h").select(F.col("_h").alias("_hash"), _placed(F.col("text"), F.col("_actions")).alias("term")), "pii-places")
+    spans = base_spans(docs).withColumn("_h", F.xxhash64("text"))
+    none = F.array().cast("array<struct<start:int,end:int,action:string>>")
+    return spans.join(placed, F.col("_h") == F.col("_hash"), "left").withColumn("term", F.coalesce("term", none)).drop("_h", "_hash")
+
+
 def sanitised(found: DataFrame) -> DataFrame:
     """``found`` with ``sanitised``: entities masked, terms removed or generalised.
 
@@ -269,7 +379,7 @@ FROM d LEFT JOIN g USING (doc_id)
 
 @query("op4_private_terms", SQL)
 def op4_private_terms(spark, sf_dir):
-    found = find(read(spark, sf_dir, "documents"))
+    found = find_everywhere(read(spark, sf_dir, "documents"))
     base = F.concat(*[_named(k) for k in KINDS])
     return found.select(
         "doc_id",
