@@ -129,6 +129,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _entity(kind: Column, value: Column) -> Column:
+    return F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value))
+
+
 def _mentions(spans: DataFrame) -> DataFrame:
     """One row per mention with the text on both sides, whole words only.
 
@@ -143,7 +147,7 @@ def _mentions(spans: DataFrame) -> DataFrame:
     cut_left = F.when(left_at > 0, F.length(left) - F.length(F.regexp_replace(left, r"^[\p{L}\p{N}_]+", ""))).otherwise(0)
     full_right = F.length(right) == REACH
     kept_right = F.when(full_right, F.regexp_replace(right, r"[\p{L}\p{N}_]+$", "")).otherwise(right)
-    value = F.when(F.col("m.kind").isin("card", "phone"), _digits(F.col("m.value"))).otherwise(F.lower("m.value"))
+    value = _entity(F.col("m.kind"), F.col("m.value"))
     return rows.select(
         "doc_id", "_h", F.col("m.kind").alias("kind"), F.col("m.start").alias("m_start"), F.col("m.end").alias("m_end"), value.alias("entity"),
         (left_at + cut_left).alias("left_at"), F.substring(left, cut_left + 1, F.lit(REACH)).alias("left"), kept_right.alias("right"),
@@ -257,6 +261,16 @@ def near_terms(texts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     return _shares(pair, pair.groupBy("kind", "entity").agg(F.sum("n_te").alias("n_e")), counts, "n_t", total)
 
 
+def document_terms(texts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(term, action) by whole texts: an entity and a term occur together when one text holds both."""
+    whole = F.concat(*[_tagged(k, "")[0] for k in KINDS])
+    named = F.array_distinct(F.transform(whole, lambda s: F.struct(s["kind"].alias("kind"), _entity(s["kind"], s["value"]).alias("entity"))))
+    held = texts.select(named.alias("es"), F.array_distinct(_words(F.col("text"))).alias("ws")).where("size(es) > 0")
+    pair = held.select("ws", F.explode("es").alias("e")).select("e.*", F.explode("ws").alias("term")).groupBy("kind", "entity", "term").agg(F.count("*").alias("n_te"))
+    entity = held.select(F.explode("es").alias("e")).select("e.*").groupBy("kind", "entity").agg(F.count("*").alias("n_e"))
+    return _shares(pair, entity, counts, "d_t", total)
+
+
 def _once(value: Column, fn) -> Column:
     """``fn(value)`` with the value worked out once, however often ``fn`` uses it."""
     return F.get(F.transform(F.array(value), fn), 0)
@@ -301,13 +315,14 @@ def _placed(text: Column, actions: Column) -> Column:
 
 def find_everywhere(docs: DataFrame) -> DataFrame:
     """As ``find``, but a term needs no least number of documents, evidence comes
-    from different texts only, and a disclosing term is marked at all its
-    occurrences in all documents (outside base spans, which are masked anyway).
+    from different texts only, beside the slots near mentions whole texts are a
+    sample space too, and a disclosing term is marked at all its occurrences in all documents (outside base spans, which are masked anyway).
     """
     texts = stage(distinct_texts(docs), "pii-texts")
     counts = stage(term_counts(texts), "pii-counts")
     total = counts.agg(F.coalesce(F.sum("n_t"), F.lit(0))).first()[0]
-    bad = stage(near_terms(texts, counts, total).groupBy("term").agg(F.max("action").alias("action")), "pii-disclosing")
+    shown = near_terms(texts, counts, total).unionByName(document_terms(texts, counts, texts.count()))
+    bad = stage(shown.groupBy("term").agg(F.max("action").alias("action")), "pii-disclosing")
     held = texts.select("_h", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(bad, "term")
     actions = held.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_actions"))
     placed = stage(texts.select("_h", "text").join(actions, "_h").select(F.col("_h").alias("_hash"), _placed(F.col("text"), F.col("_actions")).alias("term")), "pii-places")

@@ -21,6 +21,7 @@ def brute_everywhere(rows):
     """Spans of disclosing terms by the definitions of ``find_everywhere``, over lists."""
     texts = {t or "" for _, t in rows}
     n_t, n_e, n_te = {}, {}, {}
+    held = [({(k, re.sub("[^0-9]", "", t[a:b]) if k in ("card", "phone") else t[a:b].lower()) for k, s in brute_base(t).items() for a, b in s}, {w.lower() for w in WORD.findall(blanked(t))}) for t in texts]
     for t in texts:
         clean, slots = blanked(t), set()
         for m in WORD.finditer(clean):
@@ -42,6 +43,12 @@ def brute_everywhere(rows):
         ratio, spread = n_t[w] / k, total / n_e[e]
         if ratio**2 <= spread:
             action[w] = max(action.get(w, ""), "remove" if ratio**4 <= spread else "generalise")
+    for e in set().union(*(es for es, _ in held)):
+        with_e = [ws for es, ws in held if e in es]
+        for w in set().union(*with_e):
+            ratio, spread = sum(w in ws for _, ws in held) / sum(w in ws for ws in with_e), len(held) / len(with_e)
+            if ratio**2 <= spread:
+                action[w] = max(action.get(w, ""), "remove" if ratio**4 <= spread else "generalise")
     return sorted((repr(d), [(m.start(), m.end(), action[m.group().lower()]) for m in WORD.finditer(blanked(t or "")) if m.group().lower() in action]) for d, t in rows)
 
 
@@ -66,6 +73,13 @@ def test_terms_of_rare_entities_in_every_document(spark):
     assert {(str(d), "zorblax") for d in (*range(20, 26), 50, 51, 52)} <= named
 
 
+def test_terms_far_from_the_mention(spark):
+    rows = [(i, " ".join(prose(i, 40))) for i in range(20)] + [(30, f"quimby {'x y z ' * 40} once@only.net")]
+    got = dict(places(pii.find_everywhere(table(spark, rows))))
+    assert got["30"][0] == (0, 6, "remove")
+    assert sorted(got.items()) == brute_everywhere(rows)
+
+
 def test_copies_are_no_evidence(spark):
     rows = [(i, f"{' '.join(prose(i, 80))}") for i in range(5)] + [(20, f"{' '.join(prose(20, 30))} a@b.cd {' '.join(prose(21, 30))}")]
     once = dict(places(pii.find_everywhere(table(spark, rows))))
