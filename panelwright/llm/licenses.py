@@ -13,6 +13,9 @@ rarest word it shares has place i in T's order it can share at most n - i
 parameter with a checked bound, so they and their index go to every task; the
 documents are read in place and never shuffled.
 
+Notices (NOTICES: declarations, headers, paragraphs) meet runs of as many words
+as they have, wherever lines break; short ones must be there whole.
+
 Base phrases are exact runs of words anywhere in the text.
 
 Edge cases: a null text is empty: no words, no labels, score 0; templates
@@ -43,10 +46,59 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "public-domain": "This is free and unencumbered software released into the public domain",
 }
+# What the query looks for besides: declaration lines, header notices and the
+# paragraphs of the licences themselves, each under its label.
+NOTICES = {
+    "apache-2.0": [
+        "Released under the Apache License, Version 2.0", "Licensed under the Apache License 2.0", "This project is licensed under the Apache License", "SPDX-License-Identifier: Apache-2.0",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    ],
+    "bsd": [
+        "Released under the BSD License", "This project is licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ],
+    "cc-attribution": [
+        "Licensed under a Creative Commons Attribution License", "Released under the Creative Commons Attribution License",
+        "You are free to share, copy and redistribute the material in any medium or format for any purpose, even commercially",
+        "You must give appropriate credit, provide a link to the license, and indicate if changes were made. You may do so in any reasonable manner, but not in any way that suggests the licensor endorses you or your use.",
+    ],
+    "gpl-notice": [
+        "Released under the GNU General Public License", "Licensed under the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/",
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    ],
+    "mit": [
+        "Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "Distributed under the terms of the MIT License", "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ],
+    "mpl-2.0": [
+        "Released under the Mozilla Public License", "Licensed under the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "public-domain": [
+        "Released into the public domain", "SPDX-License-Identifier: Unlicense", "SPDX-License-Identifier: CC0-1.0",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+}
 CONTAIN = 0.8
+SHORT = 12  # a notice of fewer distinct words must be whole: one word tells licences apart
 MOST_TEMPLATE_WORDS = 1_000_000  # beyond it the templates are no parameter any more
 
 
+def notices() -> list[tuple[str, str, float]]:
+    """(label, text, share) of what is looked for in runs of words."""
+    return [(k, t, 1.0 if len(set(words_of(t))) < SHORT else CONTAIN) for k, ts in NOTICES.items() for t in ts]
+
+
 def words_of(text: str) -> list[str]:
     w = Words([text], NON_WORD, True)
     return [w.data[a:b].decode() for a, b in zip(w.starts.tolist(), w.ends.tolist())]
@@ -123,12 +175,59 @@ class Index:
                 yield b, t, shared
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, contain: float = CONTAIN) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+class Runs:
+    """Notices met by runs of words as long as they are, across line breaks."""
+
+    def __init__(self, notices: list[tuple[str, str, float]]):
+        self.notices = []
+        for label, text, share in notices:
+            words = words_of(text)
+            if not words:
+                raise ValueError("notices need words")
+            known = np.sort(hashes_of(sorted(set(words))))
+            self.notices.append((label, known, len(words), math.ceil(share * len(known) - 1e-9)))
+        self.known = np.unique(np.concatenate([n[1] for n in self.notices])) if self.notices else np.empty(0, np.uint64)
+
+    def matches(self, hashes: np.ndarray, owner: np.ndarray, bounds: np.ndarray):
+        """(text, label, share) of every text with a run that holds enough words of a notice.
+
+        A word counts in the runs that start after its last occurrence, so
+        running sums give the distinct words of all runs at once.
+        """
+        if not self.notices or not len(hashes):
+            return
+        at = np.flatnonzero(_places(self.known, hashes) < len(self.known))
+        kept = hashes[at]
+        for label, known, length, need in self.notices:
+            which = _places(known, kept)
+            mine = which < len(known)
+            place, word = at[mine], which[mine]
+            if len(np.unique(word)) < need:
+                continue
+            by = np.lexsort((place, word))
+            last = np.full(len(place), -1)
+            last[by[1:]] = np.where(word[by[1:]] == word[by[:-1]], place[by[:-1]], -1)
+            first = np.maximum(np.maximum(last + 1, place - length + 1), bounds[owner[place]])
+            change = np.bincount(first, minlength=len(hashes) + 1) - np.bincount(place + 1, minlength=len(hashes) + 1)
+            held = np.cumsum(change)[:-1]
+            hits = np.flatnonzero(held >= need)
+            for d in np.unique(owner[hits]).tolist():
+                yield d, label, float(held[hits][owner[hits] == d].max()) / len(known)
+
+
+def scan(
+    docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, contain: float = CONTAIN,
+    notices: list[tuple[str, str, float]] = (),
+) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    ``notices``: (label, text, share) looked for in runs of words beside the templates.
+    """
     words = sorted({w for t in templates.values() for w in words_of(t)})
     if not all(map(words_of, templates.values())) or len(words) > MOST_TEMPLATE_WORDS:
         raise ValueError("templates need words, and not more than a task can hold")
     index = Index(templates, frequencies(docs, words), contain)
+    spread = Runs(notices)
     runs = [(hashes_of(words_of(p)), label) for p, label in phrases.items()]
 
     def run(batch):
@@ -158,6 +257,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
                 d = int(owner[np.searchsorted(line, b)])
                 labels[d].add(index.names[t])
                 score[d] = max(score[d], shared / index.size[t])
+            for d, label, share in spread.matches(w.hashes, owner, w.bounds):
+                labels[d].add(label)
+                score[d] = max(score[d], share)
             for d in range(y - x):
                 p = places[d]
                 rows.append((
@@ -202,4 +304,4 @@ FROM w LEFT JOIN b USING (r) LEFT JOIN f USING (r)
 
 @query("op7_license_scan", _sql())
 def op7_license_scan(spark, sf_dir):
-    return scan(read(spark, sf_dir, "documents"))
+    return scan(read(spark, sf_dir, "documents"), notices=notices())
