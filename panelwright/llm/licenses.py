@@ -13,7 +13,7 @@ rarest word it shares has place i in T's order it can share at most n - i
 parameter with a checked bound, so they and their index go to every task; the
 documents are read in place and never shuffled.
 
-Notices (NOTICES: declarations, headers, paragraphs) meet runs of as many words
+Notices (the templates again, and NOTICES: declarations, headers, paragraphs) meet runs of as many words
 as they have, wherever lines break; short ones must be there whole.
 
 Base phrases are exact runs of words anywhere in the text.
@@ -96,7 +96,8 @@ MOST_TEMPLATE_WORDS = 1_000_000  # beyond it the templates are no parameter any
 
 def notices() -> list[tuple[str, str, float]]:
     """(label, text, share) of what is looked for in runs of words."""
-    return [(k, t, 1.0 if len(set(words_of(t))) < SHORT else CONTAIN) for k, ts in NOTICES.items() for t in ts]
+    openings = [(k, t, CONTAIN) for k, t in TEMPLATES.items()]
+    return openings + [(k, t, 1.0 if len(set(words_of(t))) < SHORT else CONTAIN) for k, ts in NOTICES.items() for t in ts]
 
 
 def words_of(text: str) -> list[str]:

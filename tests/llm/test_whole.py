@@ -115,3 +115,14 @@ def test_declarations_and_paragraphs(spark):
         labels, score = brute_runs(t or "", notices)
         assert set(filter(None, got[d].labels.split(","))) == labels | set(filter(None, plain[d].labels.split(",")))
         assert got[d].score == max(score, plain[d].score)
+
+
+def test_wrapped_notices(spark):
+    rows = [
+        (1, "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted"),
+        (2, " * This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0."), (3, "Released under\nthe MIT License"),
+        (4, "Redistribution and use in source"),
+    ]
+    plain = {r.doc_id: r.labels for r in licenses.scan(table(spark, rows)).collect()}
+    got = {r.doc_id: r.labels for r in licenses.scan(table(spark, rows), notices=licenses.notices()).collect()}
+    assert set(plain.values()) == {""} and got == {1: "bsd", 2: "mpl-2.0", 3: "mit", 4: ""}
