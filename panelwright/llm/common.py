@@ -45,6 +45,16 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Delete the staged files that ``df`` reads, once nothing else will read them."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    own = f"{shared_folder(df.sparkSession)}/panelwright/llm/"
+    folders = {f[: f.index(own) + len(own)] + f[f.index(own) + len(own) :].split("/")[0] for f in df.inputFiles() if own in f}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
