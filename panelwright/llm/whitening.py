@@ -105,7 +105,7 @@ def factor(vectors: DataFrame, dim: int, n: int, s: np.ndarray, scale: int, shif
             at = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([r.tobytes()])], ["slot", "r"])
 
-    def merged(key, group: pa.Table):
+    def merged(key, group):
         parts = (np.frombuffer(r, np.float64).reshape(-1, dim) for r in group.sort_by("slot").column("r").to_pylist())
         return pa.table({"slot": pa.array([key[0].as_py()], pa.int64()), "r": [triangular(parts).tobytes()]})
 
