@@ -6,7 +6,7 @@ import importlib
 
 MODULES = [
     "token_counts", "huffman", "language", "pii", "decontaminate", "exact_dedup", "licenses", "substring", "packing", "near_dedup",
-    "vector_codes", "whitening",
+    "vector_codes", "whitening", "html_text",
 ]
 
 
