@@ -118,6 +118,8 @@ class _Reader:
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = 0
+        self.articles = 0
+        self.link_depth = 0
 
     def flush(self) -> None:
         if self.parts:
@@ -136,14 +138,9 @@ class _Reader:
     def pop(self) -> None:
         tag = self.elements[self.stack.pop()].tag
         self.open[tag] -= 1
-        if tag not in INLINE and self.open.get("a") and "a" not in self.links_open():
+        if self.link_depth > len(self.stack):  # a link left open ends with the element it began in
             self.open["a"] = 0
 
-    def links_open(self):
-        return ("a",) if self.link_depth < len(self.stack) else ()
-
-    link_depth = 0
-
     def close_to(self, tags, holders=frozenset()) -> None:
         """Close the innermost open element of ``tags``, unless a holder lies above it."""
         if not any(self.open.get(t) for t in tags):
@@ -177,7 +174,9 @@ class _Reader:
         words, roles, shown = _attributes(tag, raw)
         self.elements.append(Element(tag, self.stack[-1], words, roles, shown))
         self.holds_main.append(False)
-        if tag in MAIN_TAGS or tag == "h1":
+        first = tag == "article" and not self.articles and not words & OUTER_WORDS
+        self.articles += tag == "article"
+        if tag in ("main", "h1") or first:
             for i in reversed(self.stack):
                 if self.holds_main[i]:
                     break
@@ -241,9 +240,9 @@ def _end_of(page: str, at: int, tag: str) -> int:
 def landmarks(elements: list[Element], holds_main: list[bool]) -> list[int]:
     """Score of every element from itself and the elements around it.
 
-    An element that is never the article settles all inside it. A word of class
-    or id counts less: not on an element around the main one, and an article
-    or main element inside starts anew.
+    An element that is never the article settles all inside it, as does one
+    named so by its class or id, unless it is the one around the main element,
+    the title or the first article.
     """
     out = [0] * len(elements)
     for i, e in enumerate(elements):
@@ -251,8 +250,10 @@ def landmarks(elements: list[Element], holds_main: list[bool]) -> list[int]:
         if above <= W_OUTER or not e.shown or e.tag in OUTER_TAGS or e.roles & OUTER_ROLES:
             out[i] = W_OUTER
         elif e.words & OUTER_WORDS and not (holds_main[i] or e.tag in ("html", "body")):
-            out[i] = W_OUTER if above > 0 or e.tag in MAIN_TAGS else W_HINT
-        elif e.tag == "header" and above <= 0:
+            out[i] = W_OUTER if above > 0 else W_HINT
+        elif above < 0:
+            out[i] = above
+        elif e.tag == "header" and above == 0:
             out[i] = W_HEADER
         elif e.tag in MAIN_TAGS or "main" in e.roles or "articlebody" in e.words:
             out[i] = W_MAIN
