@@ -38,6 +38,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[a-z]+")
+UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -195,9 +196,9 @@ class _Reader:
             self.close_to((tag,))
 
     def read(self, page: str) -> None:
-        at = 0
+        at, stop = 0, page.rfind(">") + 1  # no tag ends beyond
         while True:
-            found = TOKEN.search(page, at)
+            found = TOKEN.search(page, at, stop)
             if not found:
                 break
             if found.start() > at:
@@ -215,8 +216,8 @@ class _Reader:
                 at = _end_of(page, at, tag)
             else:
                 self.start(tag, raw)
-        if at < len(page):
-            self.text(page[at:])
+        if at < len(page):  # a tag or comment that never ends is no text
+            self.text(UNFINISHED.split(page[at:], maxsplit=1)[0])
         self.flush()
 
 
