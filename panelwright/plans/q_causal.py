@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import coherence as co
 from panelwright.operators import effects as ef
 from panelwright.operators import invariance as iv
+from panelwright.operators import parents as ip
 from panelwright.plans import views as v
 from panelwright.plans.registry import near_sql, query, round_sql, rounded
 from panelwright.plans.sqlviews import EVIDENCE, sql, view
@@ -70,28 +71,23 @@ def blanket_first_step(spark, sf):
 
 @query("markov_blanket")
 def markov_blanket(spark, sf):
-    """Grow-shrink blanket of the decision, every test on all rows it can use (CS8, CS9)."""
-    d = v.decisions(spark, sf)
-    found = iv.markov_blanket(d, "action_ordinal", _BLANKET)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(found)], "pos int, variable string")
+    """Grow-shrink blankets of the three targets, every test on all rows it can use (CS8, CS9)."""
+    rows = [(t, i, c) for t, found in v.blankets(spark, sf).items() for i, c in enumerate(found)]
+    return spark.createDataFrame(rows, "target string, pos int, variable string")
 
 
 @query("invariant_parents")
 def invariant_parents(spark, sf):
-    """Subset search with residual invariance across environments over all rows (CS12)."""
-    d = v.decisions(spark, sf)
-    pool = iv.candidate_pool(d, "action_ordinal", _CAND, [], [], limit=4)
-    return rounded(iv.search_parents(d, "action_ordinal", pool, "pooled", "index_return"))
+    """All subsets of up to three of 30 candidates, per stratum and target, at the primary threshold (CS12)."""
+    return rounded(v.fitted_parents(spark, sf).where(F.col("alpha") == iv.ALPHA_PRIMARY).drop("alpha"))
 
 
 @query("invariance_thresholds")
 def invariance_thresholds(spark, sf):
-    """Threshold sweep and stability from the stored subset p-values, one search (CS13)."""
-    env = iv.filter_environments(iv.add_environment(v.decisions(spark, sf), "index_return"))
-    tested = iv.subset_invariance(env, "is_sell", _CAND[:3], 2)
-    s = iv.summarise_subsets(tested)
-    stable = iv.alpha_stability(s).select("variable", "n_alphas", "stable")
-    return rounded(s.join(stable, "variable", "left"))
+    """Threshold sweep and stability of the same searches (CS13)."""
+    p = v.fitted_parents(spark, sf)
+    keys = ["stratum", "target", "variable"]
+    return rounded(p.join(ip.threshold_stability(p), keys, "left"))
 
 
 @query("soft_intersection", sql(f"""

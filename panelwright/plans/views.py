@@ -16,8 +16,11 @@ from panelwright.functions import periods as pr
 from panelwright.functions.encodings import action_class
 from panelwright.operators import bars as br
 from panelwright.operators import egonet as eg
+from panelwright.operators import features as ft
 from panelwright.operators import granger as gr
 from panelwright.operators import graph as gp
+from panelwright.operators import invariance as iv
+from panelwright.operators import parents as ip
 from panelwright.operators import regression as rg
 from panelwright.operators import positions as ps
 from panelwright.operators import sentiment as st
@@ -361,6 +364,69 @@ def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "effects", build)
 
 
+# Candidate columns of the searches beside the panel's own.
+READY = {
+    "stock_lags": {"rsi": [1], "monthly_return": [1, 2], "sentiment_mean": [1], "eps": [1]},
+    "position_lags": {"pct_nav": [1], "allocation_change": [1, 2]},
+    "products": {"pe_x_return": ("pe", "monthly_return"), "rsi_x_return": ("rsi", "monthly_return"), "vix_x_return": ("vix", "monthly_return"), "sentiment_x_return": ("sentiment_mean", "monthly_return")},
+    "roots": ["log_market_cap", "log_pe", "sqrt_volatility", "log_volume_ratio"],
+}
+NUMERIC = [
+    "holding_tenure", *INDICATORS, "sentiment_mean", "news_count", *FUNDAMENTALS, *MACRO,
+    *[f"{c}_lag{k}" for part in ("stock_lags", "position_lags") for c, ks in READY[part].items() for k in ks], *READY["products"], *READY["roots"],
+]
+DOMAIN = [
+    "pe", "pb", "eps", "eps_lag1", "market_cap", "sentiment_mean", "sentiment_mean_lag1", "repo_rate", "cpi", "vix", "index_return", "holding_tenure",
+    "allocation_change_lag1", "allocation_change_lag2", "pct_nav_lag1", "volume_ratio", "rsi_lag1", "pe_x_return", "rsi_x_return", "vix_x_return",
+    "sentiment_x_return", "log_market_cap", "log_pe", "sqrt_volatility", "log_volume_ratio", "monthly_return", "monthly_return_lag1", "monthly_return_lag2",
+]
+# Classes of the ordinal target (sell, hold, buy) as each target sees them.
+CLASSES = {"action_ordinal": [0, 1, 2], "is_buy": [0, 0, 1], "is_sell": [1, 0, 0]}
+
+
+def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions with every candidate column: lags of stocks and positions, products and roots."""
+
+    def build():
+        d = decisions(spark, sf_dir)
+        lags = READY["stock_lags"]
+        s = ft.stock_frame(d, [*lags])
+        for c, ks in lags.items():
+            s = ft.add_lags(s, ["isin"], "period", [c], ks)
+        d = d.join(s.drop(*lags), ["isin", "period"], "left")
+        for c, ks in READY["position_lags"].items():
+            d = ft.add_lags(d, ["fund", "isin"], "month_ord", [c], ks)
+        return d.withColumns(ft.nonlinear() | ft.interactions(READY["products"])).withColumn("stratum", F.replace("fund_type", F.lit(" "), F.lit("_")))
+
+    return _once(spark, sf_dir, "ready", build)
+
+
+def blankets(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+    """Markov blanket of every target over all candidate columns."""
+
+    def build():
+        r = ready(spark, sf_dir)
+        rows = [(t, i, c) for t in OUTCOMES for i, c in enumerate(iv.markov_blanket(r, t, NUMERIC, covariances=iv.batch_covariances))]
+        return spark.createDataFrame(rows, "target string, pos int, variable string")
+
+    out: dict[str, list[str]] = {t: [] for t in OUTCOMES}
+    for r in _once(spark, sf_dir, "blankets", build).orderBy("target", "pos").collect():  # targets x at most 40
+        out[r["target"]].append(r["variable"])
+    return out
+
+
+def fitted_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents by subset search over 30 candidates, every stratum, target and threshold."""
+
+    def build():
+        found = ip.search_all(
+            ready(spark, sf_dir), OUTCOMES, NUMERIC, "stratum", "index_return", DOMAIN, merge=CLASSES, blankets=blankets(spark, sf_dir)
+        )
+        return ip.parent_table(spark, found, iv.ALPHAS)
+
+    return _once(spark, sf_dir, "fitted_parents", build)
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three deterministic predictors of every decision in long form."""
 
