@@ -37,9 +37,9 @@ def cause_group(c: Column) -> Column:
 
 
 def pooled_panel(
-    df: DataFrame, stock_cols: list[str], fund_cols: list[str], macro_cols: list[str], news_floor: float | None = None
+    df: DataFrame, stock_cols: list[str], fund_cols: list[str], macro_cols: list[str], news_floor: float | None = None, by: list[str] = ()
 ) -> DataFrame:
-    """Funds pooled to one row per stock and month.
+    """Funds pooled to one row per stock and month (and per stratum ``by``).
 
     Decisions become mean and shares, stock and macro columns the first known
     value by fund order, fund columns the mean; sentiment of thin months is missing.
@@ -49,7 +49,7 @@ def pooled_panel(
     def first(c: str) -> Column:
         return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("fund"))).alias(c)
 
-    pooled = df.where(a.isNotNull()).groupBy("isin", "period").agg(
+    pooled = df.where(a.isNotNull()).groupBy(*by, "isin", "period").agg(
         F.avg(a.cast("double")).alias("action_ordinal"),
         F.avg((a == 1).cast("double")).alias("buy_ratio"),
         F.avg((a == -1).cast("double")).alias("sell_ratio"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import granger as gr
 from panelwright.operators import regression as rg
+from panelwright.operators import sweep as sw
 from panelwright.plans import views as v
 from panelwright.plans.registry import near, near_sql, query, round_sql, rounded
 from panelwright.plans.sqlviews import FUND_VARS, MACRO_VARS, STOCK_VARS, sql
@@ -55,20 +56,28 @@ def autoregressive_orders(spark, sf):
     return t.select("ar_order", "n", at(F.lit(1)).alias("yy"), at(F.col("ar_order") + 1).alias("y_last"), at(F.size("p")).alias("last_last"))
 
 
+_CONTROLLED = "beta t_stat p_value p_fdr partial_r2 rsquared dw_stat"
+
+
+@query("links_with_controls", sql(f"SELECT stratum, target, cause, lag, n_obs, {round_sql(_CONTROLLED, 4)} FROM control_links", "control_links"))
+def links_with_controls(spark, sf):
+    """The whole sweep with one autoregressive control, pooled and per fund type, from one moment table (CS1, CS3, CS5, AG24)."""
+    l = sw.sweep(v.stratified_panel(spark, sf), gr.TARGETS, v.CAUSES, v.LAGS, {t: 1 for t in gr.TARGETS}, 100)
+    return rounded(l.select("stratum", "target", "cause", "lag", "n_obs", *_CONTROLLED.split()), 4)
+
+
 @query("granger_sweep")
 def granger_sweep(spark, sf):
-    """Full sweep with autoregressive controls chosen by AIC, Durbin-Watson and FDR (CS2, CS3, CS5)."""
-    p = v.pooled(spark, sf)
-    ar = {t: gr.select_ar_order(p, t) for t in gr.TARGETS}
-    return rounded(gr.rank_links(gr.sweep(p, gr.TARGETS, v.CAUSES, v.LAGS, ar, 100, with_dw=True)))
+    """Full sweep with autoregressive controls chosen by AIC, Durbin-Watson and FDR, pooled and per fund type (CS2, CS3, CS5)."""
+    return rounded(gr.rank_links(v.fitted_links(spark, sf)))
 
 
 @query("regime_interactions")
 def regime_interactions(spark, sf):
-    """Regime product terms on the thirty strongest links, with the orders chosen by AIC (CS4)."""
-    p = v.pooled(spark, sf)
-    ar = {t: gr.select_ar_order(p, t) for t in gr.TARGETS}
-    return rounded(gr.regime_interactions(p, v.links(spark, sf), ar, 30, 100))
+    """Regime product terms on the thirty strongest pooled links, with the orders chosen by AIC (CS4)."""
+    whole = F.col("stratum") == "pooled"
+    links = v.fitted_links(spark, sf).where(whole)
+    return rounded(sw.regime_interactions(v.stratified_panel(spark, sf).where(whole), links, v.ar_orders(spark, sf), v.REGIMES, 30, 100))
 
 
 @query("durbin_watson", sql("""

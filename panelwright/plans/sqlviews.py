@@ -298,6 +298,47 @@ view("links", ["link_q"], """
   FROM link_q""")
 VIEWS["links"][0].append("pooled")
 
+# Links with one autoregressive control, pooled and within each fund type.
+view("strata_panel", ["panel", "pooled"], f"SELECT 'pooled' AS stratum, isin, period, {', '.join(TARGETS + CAUSES)} FROM pooled UNION ALL BY NAME SELECT " + """
+    replace(fund_type, ' ', '_') AS stratum, isin, period, avg(CASE position_action WHEN 'SELL' THEN -1 WHEN 'HOLD' THEN 0 ELSE 1 END) AS action_ordinal,
+    avg(CASE WHEN position_action IN ('BUY', 'INITIAL_POSITION') THEN 1 ELSE 0 END) AS buy_ratio,
+    avg(CASE WHEN position_action = 'SELL' THEN 1 ELSE 0 END) AS sell_ratio,
+    CASE WHEN coalesce(max(news_count), 99) >= 10 THEN max(sentiment_mean) END AS sentiment_mean, """
+     + ", ".join(f"max({c}) AS {c}" for c in STOCK_VARS + MACRO_VARS) + ", "
+     + ", ".join(f"avg({c}) AS {c}" for c in FUND_VARS) + " FROM panel GROUP BY fund_type, isin, period")
+view("control_rows", ["strata_panel"], f"""
+  SELECT stratum, isin, period, target, split_part(nm, ':', 1) AS cause, CAST(split_part(nm, ':', 2) AS INT) AS lag, x, y, a FROM (
+    SELECT stratum, isin, period, nm, x, unnest(['action_ordinal', 'buy_ratio', 'sell_ratio']) AS target,
+      unnest([action_ordinal, buy_ratio, sell_ratio]) AS y, unnest([a1, a2, a3]) AS a
+    FROM (SELECT stratum, isin, period, action_ordinal, buy_ratio, sell_ratio, lag(action_ordinal) OVER w AS a1, lag(buy_ratio) OVER w AS a2, lag(sell_ratio) OVER w AS a3, {_LAGGED}
+      FROM strata_panel WINDOW w AS (PARTITION BY stratum, isin ORDER BY period)) UNPIVOT (x FOR nm IN ({_NAMES}))) WHERE y IS NOT NULL AND a IS NOT NULL""")
+view("control_d", ["control_rows"], """
+  SELECT stratum, target, cause, lag, isin, period, x - avg(x) OVER g AS x, y - avg(y) OVER g AS y, a - avg(a) OVER g AS a FROM control_rows
+  WINDOW g AS (PARTITION BY stratum, target, cause, lag, isin)""")
+view("control_b", ["control_d"], """
+  SELECT *, sxx * saa - sxa * sxa AS det, (sxy * saa - say * sxa) / (sxx * saa - sxa * sxa) AS bx, (say * sxx - sxy * sxa) / (sxx * saa - sxa * sxa) AS ba FROM (
+    SELECT stratum, target, cause, lag, count(*) AS n_obs, count(DISTINCT isin) AS g, sum(x * x) AS sxx, sum(x * a) AS sxa, sum(a * a) AS saa,
+      sum(x * y) AS sxy, sum(a * y) AS say, sum(y * y) AS syy FROM control_d GROUP BY ALL HAVING count(*) >= 100 AND sum(x * x) > 1e-9)""")
+view("control_e", ["control_d", "control_b"], """
+  SELECT stratum, target, cause, lag, isin, d.x, d.a, d.y - bx * d.x - ba * d.a AS e,
+    d.y - bx * d.x - ba * d.a - lag(d.y - bx * d.x - ba * d.a) OVER (PARTITION BY stratum, target, cause, lag, isin ORDER BY period) AS st
+  FROM control_d d JOIN control_b USING (stratum, target, cause, lag)""")
+view("control_t", ["control_e", "control_b", "strata_panel"], """
+  SELECT b.*, s.rss, s.dw, bx / sqrt(n_obs / (n_obs - 2.0) * (saa * saa * mxx - 2 * saa * sxa * mxa + sxa * sxa * maa)) * det AS t_stat, greatest(n_obs - 2 - g, 1)::DOUBLE AS df,
+    greatest(n_obs - 2 - (SELECT count(DISTINCT isin) FROM strata_panel p WHERE p.stratum = b.stratum), 1) AS dof
+  FROM control_b b JOIN (SELECT stratum, target, cause, lag, sum(ss) AS rss, sum(ds) / sum(ss) AS dw, sum(sx * sx) AS mxx, sum(sx * sa) AS mxa, sum(sa * sa) AS maa FROM (
+      SELECT stratum, target, cause, lag, isin, sum(e * e) AS ss, sum(st * st) AS ds, sum(x * e) AS sx, sum(a * e) AS sa FROM control_e GROUP BY ALL) GROUP BY ALL) s
+    USING (stratum, target, cause, lag)""")
+view("control_p", ["control_t"], """
+  SELECT *, lag > 0 AS causal, greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * (h / 3) * list_sum(list_transform(range(0, 2001),
+      lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(i * h), df - 1)))) AS p_value
+  FROM (SELECT *, atan(abs(t_stat) / sqrt(df)) / 2000 AS h FROM control_t)""")
+view("control_links", ["control_p"], """
+  SELECT stratum, target, cause, lag, n_obs, bx AS beta, t_stat, p_value, 1 - rss / syy AS rsquared, t_stat * t_stat / (t_stat * t_stat + dof) AS partial_r2, dw AS dw_stat,
+    least(1, min(raw) OVER (PARTITION BY stratum, target, causal ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_fdr
+  FROM (SELECT *, p_value * count(*) OVER (PARTITION BY stratum, target, causal) / row_number() OVER f AS raw, row_number() OVER f AS rk FROM control_p
+    WINDOW f AS (PARTITION BY stratum, target, causal ORDER BY p_value, cause, lag))""")
+
 EVIDENCE = ["rsi", "monthly_return", "volume_ratio", "holding_tenure", "consensus_count", "pct_nav", "sentiment_mean", "pe", "vix", "cpi"]
 OUTCOMES = ["action_ordinal", "is_buy", "is_sell"]
 view("decisions", ["panel"], """

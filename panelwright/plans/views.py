@@ -24,6 +24,7 @@ from panelwright.operators import parents as ip
 from panelwright.operators import regression as rg
 from panelwright.operators import positions as ps
 from panelwright.operators import sentiment as st
+from panelwright.operators import sweep as sw
 from panelwright.session import is_staged, staged
 
 SECTORS = ["FINANCIAL SERVICES", "INFORMATION TECHNOLOGY", "HEALTHCARE", "ENERGY", "AUTOMOBILE", "FMCG"]
@@ -384,6 +385,41 @@ DOMAIN = [
 CLASSES = {"action_ordinal": [0, 1, 2], "is_buy": [0, 0, 1], "is_sell": [1, 0, 0]}
 
 
+def stratified_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pooled panel, and beside it one pooled within each fund type, told apart by ``stratum``."""
+
+    def build():
+        whole = pooled(spark, sf_dir)
+        d = panel(spark, sf_dir).withColumn("stratum", F.replace("fund_type", F.lit(" "), F.lit("_")))
+        parts = gr.pooled_panel(d, STOCK_VARS, FUND_VARS, MACRO_VARS, news_floor=10, by=["stratum"])
+        states = whole.groupBy("period").agg(*[F.max(c).alias(c) for c in REGIMES])
+        return whole.withColumn("stratum", F.lit(ip.POOLED)).unionByName(parts.join(F.broadcast(states), "period", "left"))  # one row per month
+
+    return _once(spark, sf_dir, "stratified_panel", build)
+
+
+REGIMES = ["regime_bull", "regime_hvix", "regime_hcpi"]
+
+
+def ar_orders(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """Autoregressive order of every target by AIC on the pooled panel."""
+
+    def build():
+        p = pooled(spark, sf_dir)
+        return spark.createDataFrame([(t, gr.select_ar_order(p, t)) for t in gr.TARGETS], "target string, ar_order int")
+
+    return {r["target"]: r["ar_order"] for r in _once(spark, sf_dir, "ar_orders", build).collect()}
+
+
+def fitted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every target, cause, lag and stratum with autoregressive controls of the chosen order."""
+
+    def build():
+        return sw.all_links(sw.sweep(stratified_panel(spark, sf_dir), gr.TARGETS, CAUSES, LAGS, ar_orders(spark, sf_dir), 100))
+
+    return _once(spark, sf_dir, "fitted_links", build)
+
+
 def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions with every candidate column: lags of stocks and positions, products and roots."""
 
