@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.operators import granger as gr
+from panelwright.operators import graph as gp
 from panelwright.operators import regression as rg
 from panelwright.operators import sweep as sw
 from panelwright.plans import views as v
 from panelwright.plans.registry import near, near_sql, query, round_sql, rounded
-from panelwright.plans.sqlviews import FUND_VARS, MACRO_VARS, STOCK_VARS, sql
+from panelwright.plans.sqlviews import FUND_VARS, MACRO_VARS, STOCK_VARS, sql, view
 
 _POOL = ["action_ordinal", "buy_ratio", "sell_ratio", *FUND_VARS, "sentiment_mean", *STOCK_VARS]
 
@@ -62,8 +63,40 @@ _CONTROLLED = "beta t_stat p_value p_fdr partial_r2 rsquared dw_stat"
 @query("links_with_controls", sql(f"SELECT stratum, target, cause, lag, n_obs, {round_sql(_CONTROLLED, 4)} FROM control_links", "control_links"))
 def links_with_controls(spark, sf):
     """The whole sweep with one autoregressive control, pooled and per fund type, from one moment table (CS1, CS3, CS5, AG24)."""
-    l = sw.sweep(v.stratified_panel(spark, sf), gr.TARGETS, v.CAUSES, v.LAGS, {t: 1 for t in gr.TARGETS}, 100)
-    return rounded(l.select("stratum", "target", "cause", "lag", "n_obs", *_CONTROLLED.split()), 4)
+    return rounded(v.stratum_links(spark, sf).select("stratum", "target", "cause", "lag", "n_obs", *_CONTROLLED.split()), 4)
+
+
+view("strong", ["control_links"], "SELECT * FROM control_links WHERE p_fdr <= 0.05 AND lag > 0")
+
+
+@query("links_by_stratum", sql("""
+    SELECT stratum, target, lag > 0 AS causal, count(*) AS n_tests, count(CASE WHEN p_fdr <= 0.05 THEN 1 END) AS n_rejected FROM control_links GROUP BY ALL""", "control_links"))
+def links_by_stratum(spark, sf):
+    """Tests and rejections under false discovery control in every stratum (AG28)."""
+    g = v.stratum_links(spark, sf).groupBy("stratum", "target", (F.col("lag") > 0).alias("causal"))
+    return g.agg(F.count("*").alias("n_tests"), F.count(F.when(F.col("significant"), 1)).alias("n_rejected"))
+
+
+@query("stratum_sign_consistency", sql(f"""
+    WITH p AS (SELECT cause, stratum, sign(avg(beta)) AS s FROM strong GROUP BY ALL), c AS (SELECT cause, count(*) AS n, count(DISTINCT s) AS k FROM p GROUP BY cause HAVING count(*) >= 2)
+    SELECT {near_sql('avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END)')} AS sign_consistency, count(*) AS variables_in_multiple_strata FROM c""", "strong"))
+def stratum_sign_consistency(spark, sf):
+    """Share of causes whose significant links have one sign in all strata that have them (AG24)."""
+    l = v.stratum_links(spark, sf).where(F.col("significant") & (F.col("link_type") == "causal"))
+    return rounded(gp.sign_consistency(l, "stratum"))
+
+
+@query("competency_by_stratum", sql("""
+    SELECT question, round(value + 1.7e-9, 3) AS value, coalesce(value > 0, false) AS answered FROM (
+      SELECT count(CASE WHEN target = 'action_ordinal' AND lag = 1 AND beta > 0 THEN 1 END)::DOUBLE AS q01, count(CASE WHEN target = 'action_ordinal' AND beta < 0 AND p_fdr < 0.01 THEN 1 END)::DOUBLE AS q02,
+        count(DISTINCT stratum)::DOUBLE AS q03, count(DISTINCT CASE WHEN cause IN ('cpi', 'index_return', 'vix') THEN cause END)::DOUBLE AS q04, count(CASE WHEN starts_with(cause, 'sentiment') THEN 1 END)::DOUBLE AS q05,
+        max(abs(t_stat)) AS q06, (SELECT count(*) FROM (SELECT cause FROM strong GROUP BY cause HAVING count(DISTINCT stratum) = 1))::DOUBLE AS q08, count(DISTINCT lag)::DOUBLE AS q09
+      FROM strong) UNPIVOT (value FOR question IN (q01, q02, q03, q04, q05, q06, q08, q09))""", "strong"))
+def competency_by_stratum(spark, sf):
+    """The questions about links, asked of significant links of all strata (GR8, AG27)."""
+    l = v.stratum_links(spark, sf).where(F.col("significant"))
+    e = gp.causal_edges(l, v.parents(spark, sf), v.effects(spark, sf))
+    return gp.competency(e).where(~F.col("question").isin("q07", "q10")).withColumn("value", near("value", 3))
 
 
 @query("granger_sweep")

@@ -411,6 +411,15 @@ def ar_orders(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     return {r["target"]: r["ar_order"] for r in _once(spark, sf_dir, "ar_orders", build).collect()}
 
 
+def stratum_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every stratum with one autoregressive control."""
+
+    def build():
+        return sw.all_links(sw.sweep(stratified_panel(spark, sf_dir), gr.TARGETS, CAUSES, LAGS, {t: 1 for t in gr.TARGETS}, 100))
+
+    return _once(spark, sf_dir, "stratum_links", build)
+
+
 def fitted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of every target, cause, lag and stratum with autoregressive controls of the chosen order."""
 
