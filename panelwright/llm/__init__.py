@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
-    "token_counts", "huffman", "language", "pii", "decontaminate", "exact_dedup", "licenses", "substring", "packing", "near_dedup",
+    "token_counts", "huffman", "language", "disclosure", "decontaminate", "exact_dedup", "licenses", "substring", "packing", "near_dedup",
     "vector_codes", "whitening", "html_text",
 ]
 

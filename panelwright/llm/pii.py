@@ -34,8 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import read, stage
-from panelwright.llm.registry import query
+from panelwright.llm.common import stage
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = {
@@ -94,26 +93,58 @@ def _named(kind: str) -> Column:
     return F.transform(F.col(kind), lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
 
+def once(value: Column, fn) -> Column:
+    """``fn(value)`` with the value worked out once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+def running(lengths: Column) -> Column:
+    """Sums of all entries before each one.
+
+    Taken in runs of CHUNK entries and then over the runs, because an array
+    that grows entry by entry costs the square of its length.
+    """
+
+    def grown(values, start):
+        def add(acc, n):
+            return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, zero, add, lambda acc: acc["out"])
+
+    def whole(ls):
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ls), F.lit(1)), F.lit(CHUNK)), lambda i: F.slice(ls, i, F.lit(CHUNK)))
+        return once(runs, lambda rs: F.flatten(F.zip_with(rs, grown(F.transform(rs, total), F.lit(0)), grown)))
+
+    def total(run):
+        return F.aggregate(run, F.lit(0), lambda a, n: a + n)
+
+    return once(lengths, whole)
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """Array of (gap, value): the matches with what lies before each; behind the last gap there is no value."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.zip_with(F.split(text, pattern, -1), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, value), code points, end exclusive.
 
     The pieces between matches and the matches alternate, so running lengths
     of both give the places.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zero = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans")
-    )
 
-    def step(acc, pair):
-        a = acc["at"] + F.length(pair["gap"])
-        b = a + F.length(pair["value"])
-        one = F.struct(a.alias("start"), b.alias("end"), pair["value"].alias("value"))
-        return F.struct(b.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+    def placed(ps):
+        lengths = F.transform(ps, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["value"]), F.lit(0)))
 
-    pairs = F.transform(found, lambda v, i: F.struct(F.get(between, i).alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+        def one(p, at):
+            a = at + F.length(p["gap"])
+            return F.struct(a.alias("start"), (a + F.length(p["value"])).alias("end"), p["value"].alias("value"))
+
+        return F.filter(F.zip_with(ps, running(lengths), one), lambda s: s["value"].isNotNull())
+
+    return once(pieces(text, pattern), placed)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -211,126 +242,6 @@ def find(docs: DataFrame) -> DataFrame:
     return spans.join(per_row, same, "left").withColumn("term", F.coalesce("term", none)).drop("_h", "_id", "_hash")
 
 
-# --- evidence without a floor, applied to every occurrence --------------------
-
-
-def _blanked(spans: DataFrame) -> DataFrame:
-    """``text`` with every base span replaced by as many spaces, so that places stay."""
-    every = F.array_sort(F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        hole = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["at"])))
-        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], gap, hole).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    return spans.withColumn("text", F.when(F.size(every) > 0, F.aggregate(every, zero, step, rest)).otherwise(F.col("text")))
-
-
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """Every different text once: doc_id (null), _h, text with blanked base spans, base spans."""
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
-    return _blanked(base_spans(texts.select(F.lit(None).cast("long").alias("doc_id"), "text")).withColumn("_h", F.xxhash64("text")))
-
-
-def _words(text: Column) -> Column:
-    """The words of a text, in order, in lower case."""
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
-
-
-def term_counts(texts: DataFrame) -> DataFrame:
-    """(term, n_t slots, d_t texts) over different texts."""
-    slots = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    holders = texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("d_t"))
-    return slots.join(holders, "term")
-
-
-def _shares(pair: DataFrame, entity: DataFrame, counts: DataFrame, n_t: str, total: int) -> DataFrame:
-    """(term, action) of every pair whose share passes; ``pair`` has n_te, ``entity`` n_e."""
-    ratio = F.col(n_t).cast("double") / F.col("n_te").cast("double")
-    spread = F.lit(float(total)) / F.col("n_e").cast("double")
-    action = F.when(ratio * ratio * ratio * ratio <= spread, "remove").when(ratio * ratio <= spread, "generalise")
-    return pair.join(entity, ["kind", "entity"]).join(counts, "term").select("term", action.alias("action")).where("action IS NOT NULL")
-
-
-def near_terms(texts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """(term, action) by the slots near mentions, each slot once for an entity."""
-    slots = contexts(texts).select("_h", "kind", "entity", "term", "start").distinct()
-    pair = stage(slots.groupBy("kind", "entity", "term").agg(F.count("*").alias("n_te")), "pii-near")
-    return _shares(pair, pair.groupBy("kind", "entity").agg(F.sum("n_te").alias("n_e")), counts, "n_t", total)
-
-
-def document_terms(texts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """(term, action) by whole texts: an entity and a term occur together when one text holds both."""
-    whole = F.concat(*[_tagged(k, "")[0] for k in KINDS])
-    named = F.array_distinct(F.transform(whole, lambda s: F.struct(s["kind"].alias("kind"), _entity(s["kind"], s["value"]).alias("entity"))))
-    held = texts.select(named.alias("es"), F.array_distinct(_words(F.col("text"))).alias("ws")).where("size(es) > 0")
-    pair = held.select("ws", F.explode("es").alias("e")).select("e.*", F.explode("ws").alias("term")).groupBy("kind", "entity", "term").agg(F.count("*").alias("n_te"))
-    entity = held.select(F.explode("es").alias("e")).select("e.*").groupBy("kind", "entity").agg(F.count("*").alias("n_e"))
-    return _shares(pair, entity, counts, "d_t", total)
-
-
-def _once(value: Column, fn) -> Column:
-    """``fn(value)`` with the value worked out once, however often ``fn`` uses it."""
-    return F.get(F.transform(F.array(value), fn), 0)
-
-
-def _placed(text: Column, actions: Column) -> Column:
-    """Array of (start, end, action): every word of ``text`` that is a key of the map.
-
-    Running lengths are taken in runs of CHUNK words and then over the runs,
-    because an array that grows word by word costs the square of the words.
-    """
-    spans = "array<struct<start:int,end:int,action:string>>"
-
-    def piece(v, gap):  # behind the last gap there is no word
-        size = F.coalesce(F.length(v), F.lit(0))
-        return F.struct((F.length(gap) + size).alias("step"), size.alias("size"), F.when(v.isNotNull(), F.element_at(actions, F.lower(v))).alias("action"))
-
-    def run(pieces, i):
-        def step(acc, p):
-            b = acc["at"] + p["step"]
-            one = F.struct((b - p["size"]).alias("start"), b.alias("end"), p["action"].alias("action"))
-            return F.struct(b.alias("at"), F.when(p["action"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(one))).alias("spans"))
-
-        return F.aggregate(F.slice(pieces, i, F.lit(CHUNK)), F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("spans")), step)
-
-    def add(acc, r):
-        return F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
-
-    def shifted(runs, starts):
-        def one(r, k):
-            return _once(F.get(starts, k), lambda at: F.transform(r["spans"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["action"].alias("action"))))
-
-        return F.flatten(F.transform(runs, one))
-
-    def joined(runs):
-        starts = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), add, lambda acc: acc["starts"])
-        return _once(starts, lambda st: shifted(runs, st))
-
-    pieces = F.zip_with(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1), piece)
-    return _once(pieces, lambda ps: _once(F.transform(F.sequence(F.lit(1), F.size(ps), F.lit(CHUNK)), lambda i: run(ps, i)), joined))
-
-
-def find_everywhere(docs: DataFrame) -> DataFrame:
-    """As ``find``, but a term needs no least number of documents, evidence comes
-    from different texts only, beside the slots near mentions whole texts are a
-    sample space too, and a disclosing term is marked at all its occurrences in all documents (outside base spans, which are masked anyway).
-    """
-    texts = stage(distinct_texts(docs), "pii-texts")
-    counts = stage(term_counts(texts), "pii-counts")
-    total = counts.agg(F.coalesce(F.sum("n_t"), F.lit(0))).first()[0]
-    shown = near_terms(texts, counts, total).unionByName(document_terms(texts, counts, texts.count()))
-    bad = stage(shown.groupBy("term").agg(F.max("action").alias("action")), "pii-disclosing")
-    held = texts.select("_h", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(bad, "term")
-    actions = held.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_actions"))
-    placed = stage(texts.select("_h", "text").join(actions, "_h").select(F.col("_h").alias("_hash"), _placed(F.col("text"), F.col("_actions")).alias("term")), "pii-places")
-    spans = base_spans(docs).withColumn("_h", F.xxhash64("text"))
-    none = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    return spans.join(placed, F.col("_h") == F.col("_hash"), "left").withColumn("term", F.coalesce("term", none)).drop("_h", "_hash")
-
-
 def sanitised(found: DataFrame) -> DataFrame:
     """``found`` with ``sanitised``: entities masked, terms removed or generalised.
 
@@ -353,53 +264,3 @@ def sanitised(found: DataFrame) -> DataFrame:
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     return found.withColumn("sanitised", F.aggregate(spans, zero, step, rest))
-
-
-SQL = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
-k(kind, o, pat) AS (VALUES ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 2, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
-  ('card', 3, '[0-9](?:[\x20-]?[0-9])+'), ('phone', 4, '\+[0-9][\x20().0-9-]+[0-9]')),
-m AS (SELECT doc_id, x, kind, o, string_split_regex(x, pat) AS gaps, regexp_extract_all(x, pat) AS vals FROM d, k WHERE regexp_matches(x, pat)),
-s AS (SELECT doc_id, x, kind, o, vals[i] AS v, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:i - 1], lambda g: length(g))), 0))::BIGINT AS a
-      FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS i FROM m)),
-c AS (SELECT *, a + length(v) AS b, regexp_replace(v, '[^0-9]', '', 'g') AS dg FROM s),
-base AS MATERIALIZED (SELECT *, CASE WHEN kind IN ('card', 'phone') THEN dg ELSE lower(v) END AS entity FROM c WHERE CASE kind WHEN 'email' THEN true
-  WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN false ELSE coalesce(try_cast(ltrim(p, '0') AS INT), 0) <= 255 END))
-  WHEN 'phone' THEN length(dg) BETWEEN 9 AND 15
-  ELSE length(dg) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(dg)), lambda i: CASE WHEN i % 2 = 0 THEN substr(dg, length(dg) - i, 1)::INT
-    WHEN substr(dg, length(dg) - i, 1)::INT > 4 THEN substr(dg, length(dg) - i, 1)::INT * 2 - 9 ELSE substr(dg, length(dg) - i, 1)::INT * 2 END)) % 10 = 0 END),
-e AS (SELECT *, greatest(0, a - {REACH}) AS l0, substr(x, greatest(0, a - {REACH}) + 1, a - greatest(0, a - {REACH})) AS lf, substr(x, b + 1, {REACH}) AS rt FROM base),
-h AS (SELECT *, CASE WHEN l0 > 0 THEN length(lf) - length(regexp_replace(lf, '^{WORD}', '')) ELSE 0 END AS cut FROM e),
-side AS (SELECT doc_id, kind, entity, l0 + cut AS at0, substr(lf, cut + 1) AS part FROM h
-         UNION ALL SELECT doc_id, kind, entity, b, CASE WHEN length(rt) = {REACH} THEN regexp_replace(rt, '{WORD}$', '') ELSE rt END FROM h),
-w AS (SELECT *, string_split_regex(part, '{WORD}') AS gaps, regexp_extract_all(part, '{WORD}') AS vals FROM side),
-slot AS MATERIALIZED (SELECT doc_id, kind, entity, lower(vals[i]) AS term, st, st + length(vals[i]) AS en FROM (
-  SELECT *, (at0 + list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:i - 1], lambda g: length(g))), 0))::BIGINT AS st
-  FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS i FROM w))),
-n AS MATERIALIZED (SELECT term, count(*) AS n_t FROM (SELECT unnest(regexp_extract_all(lower(x), '{WORD}')) AS term FROM d) GROUP BY term),
-te AS (SELECT kind, entity, term, count(*) AS n_te, count(DISTINCT doc_id) AS docs FROM slot GROUP BY ALL),
-ne AS (SELECT kind, entity, sum(n_te) AS n_e FROM te GROUP BY ALL),
-bad AS (SELECT te.kind, te.entity, te.term FROM te JOIN ne USING (kind, entity) JOIN n USING (term)
-        WHERE docs >= {MIN_SEEN} AND (n_t::DOUBLE / n_te) * (n_t::DOUBLE / n_te) <= (SELECT sum(n_t) FROM n)::DOUBLE / n_e::DOUBLE),
-term AS (SELECT DISTINCT doc_id, st, en FROM slot JOIN bad USING (kind, entity, term)),
-every AS (SELECT doc_id, o, kind, a, b FROM base UNION ALL SELECT doc_id, 5, 'term', st, en FROM term),
-g AS (SELECT doc_id, count(*) FILTER (o = 1) AS n_email, count(*) FILTER (o = 2) AS n_ip, count(*) FILTER (o = 3) AS n_card, count(*) FILTER (o = 4) AS n_phone, count(*) FILTER (o = 5) AS n_term,
-        sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY o, a) FILTER (o < 5), '')) AS base_sha256, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY o, a, b) AS spans
-      FROM every GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term
-FROM d LEFT JOIN g USING (doc_id)
-"""
-
-
-@query("op4_private_terms", SQL)
-def op4_private_terms(spark, sf_dir):
-    found = find_everywhere(read(spark, sf_dir, "documents"))
-    base = F.concat(*[_named(k) for k in KINDS])
-    return found.select(
-        "doc_id",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
-        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, _named("term")), ",").alias("spans"),
-        F.size("term").cast("long").alias("n_term"),
-    )
