@@ -2,94 +2,9 @@
 
 import re
 
-from panelwright.llm import licenses, pii
+from panelwright.llm import licenses
 
 from .docs import odd_rows, prose, table
-from .test_scans import brute_base
-
-WORD = re.compile(r"\w+")
-
-
-def blanked(text):
-    for spans in brute_base(text).values():
-        for a, b in spans:
-            text = text[:a] + " " * (b - a) + text[b:]
-    return text
-
-
-def brute_everywhere(rows):
-    """Spans of disclosing terms by the definitions of ``find_everywhere``, over lists."""
-    texts = {t or "" for _, t in rows}
-    n_t, n_e, n_te = {}, {}, {}
-    held = [({(k, re.sub("[^0-9]", "", t[a:b]) if k in ("card", "phone") else t[a:b].lower()) for k, s in brute_base(t).items() for a, b in s}, {w.lower() for w in WORD.findall(blanked(t))}) for t in texts]
-    for t in texts:
-        clean, slots = blanked(t), set()
-        for m in WORD.finditer(clean):
-            n_t[m.group().lower()] = n_t.get(m.group().lower(), 0) + 1
-        for kind, spans in brute_base(t).items():
-            for a, b in spans:
-                e = kind, re.sub("[^0-9]", "", t[a:b]) if kind in ("card", "phone") else t[a:b].lower()
-                left, right = max(0, a - pii.REACH), clean[b : b + pii.REACH]
-                cut = len(re.match(r"\w*", clean[left:a]).group()) if left else 0
-                slots |= {(e, m.group().lower(), left + cut + m.start()) for m in WORD.finditer(clean[left + cut : a])}
-                if len(right) == pii.REACH:
-                    right = re.sub(r"\w+$", "", right)
-                slots |= {(e, m.group().lower(), b + m.start()) for m in WORD.finditer(right)}
-        for e, w, _ in slots:
-            n_e[e] = n_e.get(e, 0) + 1
-            n_te[e, w] = n_te.get((e, w), 0) + 1
-    total, action = sum(n_t.values()), {}
-    for (e, w), k in n_te.items():
-        ratio, spread = n_t[w] / k, total / n_e[e]
-        if ratio**2 <= spread:
-            action[w] = max(action.get(w, ""), "remove" if ratio**4 <= spread else "generalise")
-    for e in set().union(*(es for es, _ in held)):
-        with_e = [ws for es, ws in held if e in es]
-        for w in set().union(*with_e):
-            ratio, spread = sum(w in ws for _, ws in held) / sum(w in ws for ws in with_e), len(held) / len(with_e)
-            if ratio**2 <= spread:
-                action[w] = max(action.get(w, ""), "remove" if ratio**4 <= spread else "generalise")
-    return sorted((repr(d), [(m.start(), m.end(), action[m.group().lower()]) for m in WORD.finditer(blanked(t or "")) if m.group().lower() in action]) for d, t in rows)
-
-
-def places(found):
-    return sorted((repr(r.doc_id), [tuple(x) for x in r.term]) for r in found.collect())
-
-
-def pii_rows():
-    rows = [(20 + i, f"{' '.join(prose(i, 60))} Zorblax writes from zor@blax.org near {' '.join(prose(i + 70, 60))}") for i in range(6)]
-    rows += [(50 + i, f"call +1 555 010 99{i:02d} or see zorblax {' '.join(prose(i + 200, 30))}") for i in range(3)] + [(90, None), (91, "")]
-    rows += [(100, f"{' '.join(prose(1, 60))} quimby asks once@only.net about {' '.join(prose(2, 300))}"), (101, f"Quimby again {' '.join(prose(3, 40))}")]
-    return rows + [(110 + i, f"{' '.join(prose(8, 40))} 10.1.2.3 {' '.join(prose(9, 40))}") for i in range(4)] + odd_rows()
-
-
-def test_terms_of_rare_entities_in_every_document(spark):
-    rows = pii_rows()
-    got = places(pii.find_everywhere(table(spark, rows)))
-    assert got == brute_everywhere(rows)
-    texts = {str(d): t for d, t in rows if t}
-    named = {(d, texts[d][a:b].lower()) for d, s in got for a, b, _ in s}
-    assert {("100", "quimby"), ("101", "quimby")} <= named  # an entity of one document
-    assert {(str(d), "zorblax") for d in (*range(20, 26), 50, 51, 52)} <= named
-
-
-def test_terms_far_from_the_mention(spark):
-    rows = [(i, " ".join(prose(i, 40))) for i in range(20)] + [(30, f"quimby {'x y z ' * 40} once@only.net")]
-    got = dict(places(pii.find_everywhere(table(spark, rows))))
-    assert got["30"][0] == (0, 6, "remove")
-    assert sorted(got.items()) == brute_everywhere(rows)
-
-
-def test_copies_are_no_evidence(spark):
-    rows = [(i, f"{' '.join(prose(i, 80))}") for i in range(5)] + [(20, f"{' '.join(prose(20, 30))} a@b.cd {' '.join(prose(21, 30))}")]
-    once = dict(places(pii.find_everywhere(table(spark, rows))))
-    more = dict(places(pii.find_everywhere(table(spark, rows + [(30 + i, rows[-1][1]) for i in range(5)]))))
-    assert once["20"] and {d: more[d] for d in once} == once and all(more[str(30 + i)] == once["20"] for i in range(5))
-
-
-def test_pii_everywhere_of_empty_table(spark):
-    assert pii.find_everywhere(table(spark, [])).count() == 0
-
 
 def brute_runs(text, notices):
     words, out, score = licenses.words_of(text), set(), 0.0
