@@ -19,12 +19,12 @@ the smallest id of a group stays.
    Pairs over the signature distance or the ratio of sizes fall; the rest are
    confirmed on the full sets. Components of the links follow.
 4. Exact remainder: buckets whose members are not yet in one component are cut
-   into tiles of at most TILE members, and pairs from different components are
-   compared in all pairs of tiles, each pair in the first key it shares, by
-   their signatures and by a finer one of FINE slots, again within five
-   deviations. What passes is confirmed on the full sets, and the components are
-   taken again over all links. So no link that would join two components is
-   lost, while a group that holds together costs one comparison per member.
+   into tiles of at most TILE members (and TILE_ENTRIES set entries) that carry
+   their full sets; equal buckets are one. In every pair of tiles an inverted
+   index with prefix and length filters finds the pairs between different
+   components that meet the threshold, and only a spanning forest of them
+   leaves the task: no more rows than members. Components are taken again over
+   all links, so no link that would join two components is lost.
 
 Edge cases: null or empty texts, and texts without words, have an empty set
 and are linked with nothing (each its own component); rows repeating a doc_id
@@ -47,14 +47,10 @@ from panelwright.llm.components import components
 from panelwright.llm.registry import query
 
 SLOTS, BITS = 64, 16
-FINE = 512  # slots of eight bits, for the few documents of the exact remainder
-TILE = 2048
-PAIRS = 1 << 17  # compared in one step: bounds memory only
+TILE, TILE_ENTRIES = 2048, 1 << 22  # members and set entries of a tile, about
 _RNG = np.random.default_rng(11)
 _XOR = _RNG.integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2)
 _MUL = _RNG.integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FINE_XOR = _RNG.integers(0, 2**63, FINE, dtype=np.uint64) * np.uint64(2)
-_FINE_MUL = _RNG.integers(0, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def distance_threshold(percent: int, slots: int = SLOTS) -> int:
@@ -99,10 +95,6 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return _minhash(sets, _XOR, _MUL, np.uint16)
 
 
-def fine_signatures(sets: list[np.ndarray]) -> np.ndarray:
-    return _minhash(sets, _FINE_XOR, _FINE_MUL, np.uint8)
-
-
 def chunk_keys(sig: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
     """One column per (chunk, slot left out)."""
     values = mix(sig.astype(np.uint64) + (np.arange(sig.shape[1], dtype=np.uint64) << np.uint64(32)) + np.uint64(1))
@@ -153,22 +145,20 @@ def _close(pairs: DataFrame, classes: DataFrame, threshold: int, percent: int) -
     return arrow_map(both.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, shingle: int, fine: bool = False) -> DataFrame:
-    """(id, set, fine signature or null) of the documents named in ``ids``.
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, set, entries) of the documents named in ``ids``.
 
     The join is a sort-merge join at every size, so its cost follows the texts.
     """
 
     def run(batch):
-        texts, rows, more = texts_of(batch.column(1)), [], []
+        texts, rows = texts_of(batch.column(1)), []
         for a, b in steps(texts):
-            sets = shingle_sets(texts[a:b], shingle)
-            rows += [s.tobytes() for s in sets]
-            more += [x.tobytes() for x in fine_signatures(sets)] if fine else [None] * len(sets)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array(more, pa.binary())], ["id", "set", "fine"])
+            rows += [s.tobytes() for s in shingle_sets(texts[a:b], shingle)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array([len(s) // 8 for s in rows], pa.int64())], ["id", "set", "entries"])
 
     named = docs.join(ids.distinct().hint("merge"), "id", "left_semi").select("id", "text")
-    return stage(arrow_map(named, run, "id long, set binary, fine binary"), "sets", "uncompressed")
+    return stage(arrow_map(named, run, "id long, set binary, entries long"), "sets", "uncompressed")
 
 
 def _confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -189,76 +179,116 @@ def _confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 
 
 def _split_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(key, id, root, n) of buckets whose members are in several components."""
-    labelled = members.join(label, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    split = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    return labelled.join(split.select("key", "n"), "key")
-
-
-def _remainder(rows: DataFrame, classes: DataFrame, whole: DataFrame, parts: list[np.ndarray], threshold: int, percent: int) -> DataFrame:
-    """Pairs from different components that share a bucket and pass both signatures."""
-    rows = rows.join(classes.select("id", F.col("n").alias("size"), "sig"), "id").join(whole.select("id", "fine").dropDuplicates(["id"]), "id")
-    fine_threshold = distance_threshold(percent, FINE)
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles"))
-    rows = rows.withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", tile)
+    """(key, id, root, n) of buckets whose members are in several components.
+
+    Buckets of the same members are one: a group of similar texts meets in
+    very many keys.
+    """
+    labelled = members.select("key", "id").join(label, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    split = labelled.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
+    ).where("low <> high")
+    return labelled.join(split.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "key")
+
+
+def forest(ids: np.ndarray, root: np.ndarray, tile: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of one run of a bucket: at most one fewer than members.
+
+    Members are taken by size. With its partners at least as large, a member
+    shares all but so many of its entries, so each partner holds one of its
+    rarest ones (prefix filter); sizes over the ratio fall (length filter).
+    What is left is counted exactly over the posting lists. Members already in
+    one component are not compared.
+    """
+    n = np.array([len(s) for s in sets])
+    order = np.argsort(n, kind="stable")
+    rank = np.empty(len(n), np.int64)
+    rank[order] = np.arange(len(n))
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    edge = np.concatenate([[0], np.cumsum(n)])
+    owner = np.repeat(np.arange(len(n)), n)
+    by_code = np.argsort(codes, kind="stable")
+    owner, held = owner[by_code], np.bincount(codes)
+    first = np.concatenate([[0], np.cumsum(held)])
+    group = {r: i for i, r in enumerate(dict.fromkeys(root.tolist()))}
+    parent = list(range(len(group)))
+    node = np.array([group[r] for r in root.tolist()])
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def postings(of: np.ndarray) -> np.ndarray:
+        size = held[of]
+        at = np.repeat(first[of] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return owner[at]
+
+    out, one, left = [], tile[0] if (tile == tile[0]).all() else None, len(group)
+    for i in order.tolist():
+        if left == 1:
+            break
+        mine = codes[edge[i] : edge[i + 1]]
+        need = -(-2 * percent * len(mine) // (100 + percent))
+        rarest = mine if need <= 1 else mine[np.argpartition(held[mine], len(mine) - need)[: len(mine) - need + 1]]
+        near = np.unique(postings(rarest))
+        near = near[(rank[near] > rank[i]) & (100 * len(mine) >= percent * n[near])]
+        if one is None:
+            near = near[tile[near] != tile[i]]
+        here = find(int(node[i]))
+        near = near[np.array([find(g) != here for g in node[near].tolist()], bool)] if len(near) else near
+        if not len(near):
+            continue
+        shared = np.bincount(postings(mine), minlength=len(n))[near]
+        for j in near[100 * shared >= percent * (len(mine) + n[near] - shared)].tolist():
+            a, b = find(int(node[i])), find(int(node[j]))
+            if a != b:
+                parent[a] = b
+                left -= 1
+                out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
+
+
+def _remainder(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between different components that share a bucket: a spanning forest of every pair of tiles."""
+    total = rows.select("key", "id").join(whole.select("id", "entries"), "id").groupBy("key").agg(F.sum("entries").alias("total"))
+    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("total") / TILE_ENTRIES))
+    rows = rows.join(total, "key").withColumn("tiles", tiles).join(whole.select("id", "set"), "id").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    rows = rows.withColumn("other", other).select(
-        "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "root", "size", "sig", "fine"
-    )
-    first_slot = np.array([p[0] for p in parts])
-    slots = [(c, s == p[0]) for c, p in enumerate(parts) for s in p]
-    chunk_of, leading = np.array([c for c, _ in slots]), np.array([x for _, x in slots])
-
-    def compared(key, t1, t2, tile, ids, root, size, sig, fine):
-        """Pairs of whole runs of equal (key, t1, t2)."""
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
-        start = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        end = np.append(start[1:], len(key))[run]
-        place = np.argmax(signed(chunk_keys(sig[start], parts)) == key[start][:, None], axis=1)[run]
-        after = end - np.arange(len(key)) - 1  # partners behind each row
-        total = np.cumsum(after)
-        a = 0
-        while a < len(key):
-            b = max(a + 1, int(np.searchsorted(total, total[a] - after[a] + PAIRS, "right")))
-            n = after[a:b]
-            i = np.repeat(np.arange(a, b), n)
-            j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            good = (root[i] != root[j]) & ((t1[i] == t2[i]) | (tile[i] != tile[j])) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-            i, j = i[good], j[good]
-            differ = np.add.reduceat(sig[i] != sig[j], first_slot, axis=1, dtype=np.int64) if len(i) else np.zeros((0, len(parts)), np.int64)
-            chunk = chunk_of[place[i]]
-            own = differ[np.arange(len(i)), chunk]
-            earlier = np.cumsum(differ <= 1, axis=1)[np.arange(len(i)), chunk] > (own <= 1)
-            # the first key they share: no earlier chunk, and in this one the only slot that can be left out
-            good = (differ.sum(1) <= threshold) & ~earlier & ((own == 1) | leading[place[i]])
-            i, j = i[good], j[good]
-            for k in range(0, len(i), 1 << 14):
-                part = slice(k, k + (1 << 14))
-                good[: len(i)][part] = (fine[i[part]] != fine[j[part]]).sum(1) <= fine_threshold
-            good = good[: len(i)]
-            x, y = ids[i[good]], ids[j[good]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-            a = b
+    rows = rows.withColumn("other", other).select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "root", "set")
+
+    def linked(held: list[pa.RecordBatch], a: int, b: int):
+        """Links of rows a..b-1 of the batches held, one run."""
+        part = pa.Table.from_batches(held).slice(a, b - a)
+        ids, root, tile = (part.column(c).to_numpy() for c in ("id", "root", "tile"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("set")]
+        return forest(ids, root, tile, sets, percent) if len(ids) > 1 else []
 
     def run(batches):
-        held = None
+        held, keys = [], np.zeros((0, 3), np.int64)
         for b in batches:
-            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            now.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint16).reshape(-1, SLOTS))
-            now.append(np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint8).reshape(-1, FINE))
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last run may go on
-            if cut:
-                yield from compared(*[x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield from compared(*held)
+            if not b.num_rows:
+                continue
+            held.append(b)
+            keys = np.vstack([keys, np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "t1", "t2")])])
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            if not len(cuts):
+                continue  # the run may go on in the next batch
+            out = [e for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist()) for e in linked(held, x, y)]
+            yield _edges(out)
+            rest = pa.Table.from_batches(held).slice(int(cuts[-1])).to_batches()
+            held, keys = rest, keys[int(cuts[-1]) :]
+        if held:
+            yield _edges(linked(held, 0, len(keys)))
 
     dealt = rows.repartition(partitions(rows.sparkSession), "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
 
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -282,10 +312,8 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     links = stage(_confirmed(tried, _sets(texts, both(tried), shingle), percent), "links")
     label = components(links).withColumnRenamed("node", "id")
     open_buckets = stage(_split_buckets(members, label), "open-buckets", "lz4")
-    whole = _sets(texts, open_buckets.select("id"), shingle, fine=True)
-    rest = stage(_remainder(open_buckets, classes, whole, parts, threshold, percent).join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = stage(_confirmed(rest, whole, percent), "more-links")
+    if not open_buckets.isEmpty():
+        more = stage(_remainder(open_buckets, _sets(texts, open_buckets.select("id"), shingle), percent), "more-links")
         if not more.isEmpty():
             label = components(links.unionByName(more)).withColumnRenamed("node", "id")
     root = stage(classes.join(label, "id", "left").select("print", F.coalesce("root", "id").alias("root")), "roots")

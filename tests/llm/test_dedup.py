@@ -180,12 +180,49 @@ def families(seed):
 @pytest.mark.parametrize("shingle,percent,tile", [(3, 85, 2048), (5, 80, 3)])
 def test_near_groups(spark, monkeypatch, shingle, percent, tile):
     monkeypatch.setattr(near_dedup, "TILE", tile)
-    monkeypatch.setattr(near_dedup, "PAIRS", 5 * tile)
+    monkeypatch.setattr(near_dedup, "TILE_ENTRIES", 200 * tile)
     rows = odd_rows() + families(shingle)
     got = near_dedup.groups(table(spark, rows), shingle, percent).collect()
     assert sorted([tuple(r) for r in got], key=repr) == brute_near(rows, shingle, percent)
 
 
+def test_forest_joins_what_all_pairs_join():
+    r = random.Random(4)
+    for trial in range(40):
+        base = [r.sample(range(10_000), r.choice([3, 20, 60])) for _ in range(3)]
+        sets, root, tile = [], [], []
+        for i in range(30):
+            b = list(r.choice(base))
+            for _ in range(r.randint(0, 4)):
+                b[r.randrange(len(b))] = r.randrange(10_000)
+            sets.append(np.array(sorted(set(b)), np.uint64))
+            root.append(r.choice([i, 0]))
+            tile.append(r.randint(0, 1) if trial % 2 else 0)
+        got = near_dedup.forest(np.arange(30), np.array(root), np.array(tile), sets, 80)
+
+        def joined(links):
+            p = list(range(30))
+            for a, b in [*links, *[(i, j) for i in range(30) for j in range(i) if root[i] == root[j]]]:
+                x, y = p[a], p[b]
+                p = [x if q == y else q for q in p]
+            return {frozenset(i for i in range(30) if p[i] == q) for q in p}
+
+        every = [
+            (i, j) for i in range(30) for j in range(i)
+            if (trial % 2 == 0 or tile[i] != tile[j] or len(set(tile)) == 1) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+        ]
+        assert joined(got) == joined(every) and len(got) < 30 and all((max(e), min(e)) in every for e in got)
+
+
+def test_links_of_the_remainder_grow_with_members_only():
+    sizes = {}
+    for g in (200, 400):
+        base = np.arange(1, 61, dtype=np.uint64)
+        sets = [np.unique(np.append(base[base != i % 60 + 1], 1000 + i)).astype(np.uint64) for i in range(g)]
+        sizes[g] = len(near_dedup.forest(np.arange(g), np.arange(g), np.zeros(g, int), sets, 85))
+    assert sizes == {200: 199, 400: 399}
+
+
 def test_near_stage_and_empty_table(spark):
     t = " ".join(prose(8, 300))
     docs = table(spark, [(5, t), (4, t + " end"), (6, None), (None, t), (7, "")])
