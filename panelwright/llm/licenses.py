@@ -48,56 +48,91 @@ TEMPLATES = {
 }
 # What the query looks for besides: declaration lines, header notices and the
 # paragraphs of the licences themselves, each under its label.
-NOTICES = {
+# Met only whole: in a short sentence one word tells licences apart.
+DECLARATIONS = {
+    "apache-2.0": [
+        "Released under the Apache License, Version 2.0",
+        "Licensed under the Apache License 2.0",
+        "This project is licensed under the Apache License",
+        "SPDX-License-Identifier: Apache-2.0",
+    ],
+    "bsd": [
+        "Released under the BSD License",
+        "This project is licensed under the BSD 3-Clause License",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
+    "cc-attribution": [
+        "Licensed under a Creative Commons Attribution License",
+        "Released under the Creative Commons Attribution License",
+    ],
+    "gpl-notice": [
+        "Released under the GNU General Public License",
+        "Licensed under the GNU General Public License",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
+    "mit": [
+        "Released under the MIT License",
+        "Licensed under the MIT License",
+        "This project is licensed under the MIT License",
+        "Distributed under the terms of the MIT License",
+        "SPDX-License-Identifier: MIT",
+    ],
+    "mpl-2.0": [
+        "Released under the Mozilla Public License",
+        "Licensed under the Mozilla Public License, v. 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
+    "public-domain": [
+        "Released into the public domain",
+        "SPDX-License-Identifier: Unlicense",
+        "SPDX-License-Identifier: CC0-1.0",
+    ],
+}
+# Met from a share of CONTAIN of their words on.
+PARAGRAPHS = {
     "apache-2.0": [
-        "Released under the Apache License, Version 2.0", "Licensed under the Apache License 2.0", "This project is licensed under the Apache License", "SPDX-License-Identifier: Apache-2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     ],
     "bsd": [
-        "Released under the BSD License", "This project is licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ],
     "cc-attribution": [
-        "Licensed under a Creative Commons Attribution License", "Released under the Creative Commons Attribution License",
         "You are free to share, copy and redistribute the material in any medium or format for any purpose, even commercially",
         "You must give appropriate credit, provide a link to the license, and indicate if changes were made. You may do so in any reasonable manner, but not in any way that suggests the licensor endorses you or your use.",
     ],
     "gpl-notice": [
-        "Released under the GNU General Public License", "Licensed under the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/",
         "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
     ],
     "mit": [
-        "Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "Distributed under the terms of the MIT License", "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     ],
     "mpl-2.0": [
-        "Released under the Mozilla Public License", "Licensed under the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0",
         "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
     "public-domain": [
-        "Released into the public domain", "SPDX-License-Identifier: Unlicense", "SPDX-License-Identifier: CC0-1.0",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
 }
 CONTAIN = 0.8
-SHORT = 12  # a notice of fewer distinct words must be whole: one word tells licences apart
 MOST_TEMPLATE_WORDS = 1_000_000  # beyond it the templates are no parameter any more
 
 
 def notices() -> list[tuple[str, str, float]]:
-    """(label, text, share) of what is looked for in runs of words."""
+    """(label, text, share) of what is looked for in runs of words; every notice states its share."""
     openings = [(k, t, CONTAIN) for k, t in TEMPLATES.items()]
-    return openings + [(k, t, 1.0 if len(set(words_of(t))) < SHORT else CONTAIN) for k, ts in NOTICES.items() for t in ts]
+    return openings + [(k, t, 1.0) for k, ts in DECLARATIONS.items() for t in ts] + [(k, t, CONTAIN) for k, ts in PARAGRAPHS.items() for t in ts]
 
 
 def words_of(text: str) -> list[str]:
@@ -177,17 +212,27 @@ class Index:
 
 
 class Runs:
-    """Notices met by runs of words as long as they are, across line breaks."""
+    """Notices met by runs of words as long as they are, across line breaks.
+
+    As for lines, words are in global frequency order: a run that holds enough
+    words of a notice holds one of its rarest (prefix filter), and all it holds
+    lies within its length of that one (position filter).
+    """
 
-    def __init__(self, notices: list[tuple[str, str, float]]):
-        self.notices = []
+    def __init__(self, notices: list[tuple[str, str, float]], counts: dict[str, int]):
+        self.notices, self.rarest = [], {}
         for label, text, share in notices:
             words = words_of(text)
             if not words:
                 raise ValueError("notices need words")
-            known = np.sort(hashes_of(sorted(set(words))))
-            self.notices.append((label, known, len(words), math.ceil(share * len(known) - 1e-9)))
+            ranked = sorted(set(words), key=lambda w: (counts.get(w, 0), w))
+            need = math.ceil(share * len(ranked) - 1e-9)
+            rare = np.sort(hashes_of(ranked[: len(ranked) - need + 1]))
+            for h in rare.tolist():
+                self.rarest.setdefault(h, []).append(len(self.notices))
+            self.notices.append((label, np.sort(hashes_of(ranked)), rare, len(words), need))
         self.known = np.unique(np.concatenate([n[1] for n in self.notices])) if self.notices else np.empty(0, np.uint64)
+        self.prefix = np.array(sorted(self.rarest), np.uint64)
 
     def matches(self, hashes: np.ndarray, owner: np.ndarray, bounds: np.ndarray):
         """(text, label, share) of every text with a run that holds enough words of a notice.
@@ -197,12 +242,20 @@ class Runs:
         """
         if not self.notices or not len(hashes):
             return
+        met = np.unique(_places(self.prefix, hashes))
+        tried = {k for i in met[met < len(self.prefix)].tolist() for k in self.rarest[int(self.prefix[i])]}
+        if not tried:
+            return
         at = np.flatnonzero(_places(self.known, hashes) < len(self.known))
         kept = hashes[at]
-        for label, known, length, need in self.notices:
+        for label, known, rare, length, need in (self.notices[k] for k in sorted(tried)):
             which = _places(known, kept)
             mine = which < len(known)
             place, word = at[mine], which[mine]
+            anchor = place[_places(rare, known)[word] < len(rare)]
+            behind = np.minimum(np.searchsorted(anchor, place - length + 1), len(anchor) - 1)
+            near = np.abs(anchor[behind] - place) < length
+            place, word = place[near], word[near]
             if len(np.unique(word)) < need:
                 continue
             by = np.lexsort((place, word))
@@ -224,11 +277,11 @@ def scan(
 
     ``notices``: (label, text, share) looked for in runs of words beside the templates.
     """
-    words = sorted({w for t in templates.values() for w in words_of(t)})
+    words = sorted({w for t in [*templates.values(), *(n[1] for n in notices)] for w in words_of(t)})
     if not all(map(words_of, templates.values())) or len(words) > MOST_TEMPLATE_WORDS:
         raise ValueError("templates need words, and not more than a task can hold")
-    index = Index(templates, frequencies(docs, words), contain)
-    spread = Runs(notices)
+    counts = frequencies(docs, words)
+    index, spread = Index(templates, counts, contain), Runs(notices, counts)
     runs = [(hashes_of(words_of(p)), label) for p, label in phrases.items()]
 
     def run(batch):
@@ -281,20 +334,27 @@ _ARROW = pa.schema([
 
 
 def _sql() -> str:
-    """The same by brute force: every line against every template."""
+    """The same by brute force: every line against every template, every run against every notice."""
     word = r"'[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     temp = ", ".join(f"('{k}', {sorted(set(words_of(v)))})" for k, v in TEMPLATES.items())
     phrase = ", ".join(f"('{v}', {words_of(k)})" for k, v in PHRASES.items())
+    spread = ", ".join(f"({i}, '{k}', {sorted(set(words_of(t)))}, {len(words_of(t))}, {math.ceil(share * len(set(words_of(t))) - 1e-9)})" for i, (k, t, share) in enumerate(notices()))
     return f"""
-WITH t(label, ws) AS (VALUES {temp}), p(label, ws) AS (VALUES {phrase}),
+WITH t(label, ws) AS (VALUES {temp}), p(label, ws) AS (VALUES {phrase}), z(k, label, ws, length, need) AS (VALUES {spread}),
 d AS (SELECT row_number() OVER () AS r, doc_id, {lower} AS x FROM documents),
 w AS (SELECT r, doc_id, x, regexp_extract_all(x, {word}) AS ws FROM d),
 hit AS (SELECT r, label, unnest(list_filter(range(len(w.ws)), lambda i: w.ws[i + 1:i + len(p.ws)] = p.ws)) AS pos FROM w, p),
 b AS (SELECT r, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS ls FROM hit GROUP BY r),
 l AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), {word})) AS ws FROM d),
 m AS (SELECT r, label, len(list_intersect(l.ws, t.ws)) / len(t.ws) AS s FROM l, t WHERE len(list_intersect(l.ws, t.ws)) >= ceil({CONTAIN} * len(t.ws) - 1e-9)),
-f AS (SELECT r, list(DISTINCT label) AS ls, max(s) AS s FROM m GROUP BY r)
+zw AS (SELECT k, label, len(ws) AS n, length, need, unnest(ws) AS v FROM z),
+o AS (SELECT r, unnest(ws) AS v, generate_subscripts(ws, 1) AS i FROM w),
+x AS (SELECT r, k, any_value(label) AS label, any_value(n) AS n, any_value(length) AS length, any_value(need) AS need, list(v ORDER BY i) AS vs, list(i ORDER BY i) AS js
+      FROM o JOIN zw USING (v) GROUP BY r, k HAVING count(DISTINCT v) >= any_value(need)),
+y AS (SELECT r, label, n, need, list_unique(vs[a:a + len(list_filter(js, lambda j: j >= js[a] AND j < js[a] + length)) - 1]) AS c FROM (SELECT *, unnest(range(1, len(js) + 1)) AS a FROM x)),
+u AS (SELECT r, label, s FROM m UNION ALL SELECT r, label, max(c) / any_value(n) FROM y WHERE c >= need GROUP BY r, label, n, need),
+f AS (SELECT r, list(DISTINCT label) AS ls, max(s) AS s FROM u GROUP BY r)
 SELECT doc_id, len(w.ws)::BIGINT AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word,
        coalesce(array_to_string(list_sort(b.ls), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(b.ls, f.ls))), ','), '') AS labels,
