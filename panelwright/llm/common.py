@@ -164,17 +164,36 @@ class Words:
         np.logical_and(gap[1:], ~gap[:-1], out=last[1:])
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last)
         self.hashes = run_hashes(_BYTES[buf], self.starts, self.ends)
+        self._odd = None
         begin = np.cumsum([0] + [len(r) + 1 for r in raw])
         self.bounds = np.searchsorted(self.starts, begin)
 
     def __len__(self) -> int:
         return len(self.starts)
 
+    def kept(self, keep: np.ndarray) -> list[bytes]:
+        """Per text the words flagged in ``keep``, joined by one space."""
+        buf = np.frombuffer(self.data, np.uint8).copy()
+        buf[self.ends] = 0x20  # behind every word there is a separator or the end of its text
+        inside = np.zeros(len(buf) + 1, np.int8)
+        inside[self.starts[keep]] += 1
+        inside[self.ends[keep] + 1] -= 1
+        taken = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        size = np.concatenate([[0], np.cumsum((self.ends - self.starts + 1) * keep)])[self.bounds]
+        out = buf[taken].tobytes()
+        return [out[a : max(a, b - 1)] for a, b in zip(size.tolist(), size[1:].tolist())]
+
     def text_of(self, i: int) -> slice:
         return slice(self.bounds[i], self.bounds[i + 1])
 
     def joined(self, a: int, b: int) -> bytes:
         """Words a..b-1 joined by one space."""
+        if self._odd is None:  # how many gaps so far are not one space
+            buf = np.frombuffer(self.data, np.uint8)
+            odd = (self.starts[1:] - self.ends[:-1] != 1) | (buf[self.ends[:-1]] != 0x20)
+            self._odd = np.concatenate([[0, 0], np.cumsum(odd)])
+        if a < b and self._odd[b] == self._odd[a + 1]:
+            return self.data[self.starts[a] : self.ends[b - 1]]
         return b" ".join(self.data[s:e] for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist()))
 
 

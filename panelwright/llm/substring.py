@@ -346,13 +346,18 @@ def repeated_words(docs: DataFrame, width: int = 20) -> tuple[DataFrame, DataFra
     return out.withColumn("copy", F.coalesce(F.col("_first") < F.col("doc_id"), F.lit(False))).drop("_first"), lost
 
 
-def _covered(n_words: int, hits: list, width: int) -> np.ndarray:
-    """Which words lie in a repeated window."""
-    change = np.zeros(n_words + 1, np.int64)
-    for h in hits:
-        bits = np.flatnonzero(np.array([h["mask"] >> i & 1 for i in range(h["n"])]))
-        np.add.at(change, h["start"] + bits, 1)
-        np.add.at(change, np.minimum(h["start"] + bits + width, n_words), -1)
+def _covered(bounds: np.ndarray, hits: pa.ListArray, width: int) -> np.ndarray:
+    """Which words of the texts (first words: ``bounds``) lie in a repeated window."""
+    rows = hits.flatten()
+    start, n, mask = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "mask"))
+    text = np.repeat(np.arange(len(hits)), hits.value_lengths().to_numpy(zero_copy_only=False))
+    change = np.zeros(int(bounds[-1]) + 1, np.int64)
+    bit = np.arange(int(n.max(initial=0)))
+    for a in range(0, len(start), 1 << 14):
+        part = slice(a, a + (1 << 14))
+        row, col = np.nonzero((mask[part, None] >> bit & 1) & (bit < n[part, None]))
+        at = (bounds[text[part]] + start[part])[row] + col
+        change += np.bincount(at, minlength=len(change)) - np.bincount(np.minimum(at + width, bounds[text[part] + 1][row]), minlength=len(change))
     return np.cumsum(change[:-1]) > 0
 
 
@@ -361,14 +366,17 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep_text: bool = False) ->
     every, lost = repeated_words(docs, width)
 
     def run(batch):
-        out = [[], [], [], [], []]
-        for doc, sha, text, hits in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            w = Words([text], WHITE, False)
-            gone = _covered(len(w), hits, width)
-            kept = b" ".join(w.data[a:b] for a, b in zip(w.starts[~gone].tolist(), w.ends[~gone].tolist()))
-            for c, x in zip(out, (doc, sha, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None)):
-                c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "sha", "gone", "kept_sha", "kept_text"])
+        texts = texts_of(batch.column(2))
+        removed, shas, kept = [], [], []
+        for x, y in steps(texts):
+            w = Words(texts[x:y], WHITE, False)
+            gone = _covered(w.bounds, batch.column(3).slice(x, y - x), width)
+            removed += np.diff(np.concatenate([[0], np.cumsum(gone)])[w.bounds]).tolist()
+            for words in w.kept(~gone):
+                shas.append(hashlib.sha256(words).hexdigest())
+                kept.append(words.decode("utf-8", "surrogatepass") if keep_text else None)
+        columns = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "gone", "kept_sha", "kept_text"])
 
     cut = stage(arrow_map(lost, run, "doc_id long, sha string, gone long, kept_sha string, kept_text string").dropDuplicates(["doc_id", "sha"]), "cut")
     out = every.join(cut, ["doc_id", "sha"], "left")
