@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import coherence as co
 from panelwright.operators import effects as ef
+from panelwright.operators import graph as gp
 from panelwright.operators import invariance as iv
 from panelwright.operators import parents as ip
 from panelwright.plans import views as v
@@ -145,6 +146,57 @@ def double_ml_forest(spark, sf):
     return rounded(ef.flag_certified(est, v.parents(spark, sf)))
 
 
+@query("effects_of_all_treatments")
+def effects_of_all_treatments(spark, sf):
+    """Cross-fitted effects of all treatments on three outcomes, three repeats of five folds (CS15, CS16)."""
+    return rounded(v.fitted_effects(spark, sf))
+
+
+@query("fitted_coherence")
+def fitted_coherence(spark, sf):
+    """Theory coherence of the fitted links of every stratum together (CS17)."""
+    return rounded(co.coherence(co.target_links(v.fitted_links(spark, sf))))
+
+
+@query("fitted_consensus")
+def fitted_consensus(spark, sf):
+    """Variables confirmed by fitted links, parents and effects (CS17)."""
+    links, parents, effects = v.evidence(spark, sf)
+    return co.consensus(co.method_variables(co.target_links(links), parents, effects))
+
+
+@query("fitted_stability")
+def fitted_stability(spark, sf):
+    """Stratified stability of the fitted parents, signs from the fitted links (CS18)."""
+    links, parents, _ = v.evidence(spark, sf)
+    real = parents.where("stratum <> 'pooled' AND target = 'action_ordinal'")
+    return rounded(co.stability(co.target_links(links), real))
+
+
+@query("fitted_feature_sets")
+def fitted_feature_sets(spark, sf):
+    """Set algebra over the variables that the fitted methods and the blankets found (SET2, ML13)."""
+    links, parents, effects = v.evidence(spark, sf)
+    found = sorted({c for cs in v.blankets(spark, sf).values() for c in cs})
+    blanket = spark.createDataFrame([(c,) for c in found], "variable string")
+    everything = spark.createDataFrame([(c,) for c in v.NUMERIC], "variable string")
+    return co.feature_sets(links, parents, effects, blanket, everything)
+
+
+@query("fitted_causal_graph")
+def fitted_causal_graph(spark, sf):
+    """Causal edges from the fitted evidence, by kind and stratum (GR5)."""
+    e = gp.causal_edges(*v.evidence(spark, sf))
+    return e.groupBy("etype", F.col("attrs")["stratum"].alias("stratum")).agg(F.count("*").alias("n"), F.countDistinct("src").alias("n_sources"))
+
+
+@query("fitted_competency")
+def fitted_competency(spark, sf):
+    """The ten questions asked of the fitted graph (GR8, AG27)."""
+    links, parents, effects = v.evidence(spark, sf)
+    return rounded(gp.competency(gp.causal_edges(links.where("significant"), parents, effects)))
+
+
 _SIGN = "CASE cause_group WHEN 'price_momentum' THEN 1 WHEN 'trend' THEN 1 WHEN 'sentiment' THEN 1 WHEN 'macro_rates' THEN -1 WHEN 'macro_equity' THEN 1 WHEN 'risk' THEN -1 ELSE 0 END"
 view("coh", ["links"], f"""
   SELECT *, CASE WHEN p_fdr < 0.05 THEN 1 ELSE 0 END AS fs, {_SIGN} AS es,

@@ -15,6 +15,8 @@ from panelwright.functions import cleaning as cl
 from panelwright.functions import periods as pr
 from panelwright.functions.encodings import action_class
 from panelwright.operators import bars as br
+from panelwright.operators import crossfit as cf
+from panelwright.operators import effects as ef
 from panelwright.operators import egonet as eg
 from panelwright.operators import features as ft
 from panelwright.operators import granger as gr
@@ -472,6 +474,29 @@ def fitted_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "fitted_parents", build)
 
 
+CORE_TREATMENTS = ["rsi", "monthly_return", "pe", "pb", "sentiment_mean", "repo_rate", "cpi", "vix", "volume_ratio", "holding_tenure"]
+
+
+def fitted_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-fitted effects of the whole treatment list on the three outcomes, flagged against the fitted parents."""
+
+    def build():
+        r = ready(spark, sf_dir)
+        found = blankets(spark, sf_dir)
+        treatments = ef.treatment_list(r, CORE_TREATMENTS, NUMERIC, sorted({c for cs in found.values() for c in cs}))
+        allowed = [c for c in NUMERIC if c not in ef.LEAK]
+        est = cf.all_effects(r, treatments, OUTCOMES, allowed, ["fund", "isin", "period"])
+        return ef.flag_certified(est, fitted_parents(spark, sf_dir).where(F.col("alpha") == iv.ALPHA_PRIMARY))
+
+    return _once(spark, sf_dir, "fitted_effects", build)
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fitted links, parents at the primary threshold, and effects."""
+    p = fitted_parents(spark, sf_dir).where(F.col("alpha") == iv.ALPHA_PRIMARY).drop("alpha")
+    return fitted_links(spark, sf_dir), p, fitted_effects(spark, sf_dir)
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three deterministic predictors of every decision in long form."""
 
