@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelwright.operators import backtest as bt
 from panelwright.operators import coherence as ch
 from panelwright.operators import evaluate as ev
 from panelwright.operators import features as ft
@@ -78,9 +79,24 @@ def style_labels(spark, sf):
 
 @query("walk_forward_model")
 def walk_forward_model(spark, sf):
-    """Every expanding-window fold with a one-month embargo (ML2, ML9)."""
-    p = ln.walk_forward(v.decisions(spark, sf), FEATS, "action_ordinal", KEEP, "logistic", "logistic", embargo=1, max_iter=20)
-    return rounded(ev.agreement(p, ["model", "period"]))
+    """Softmax regression of every expanding-window fold with a one-month embargo, to convergence (ML2, ML9)."""
+    return rounded(ev.agreement(v.fitted_predictions(spark, sf), ["model", "period"]))
+
+
+@query("fitted_backtest")
+def fitted_backtest(spark, sf):
+    """Backtest of the fitted predictions, bought stocks alike and weighted by their probability (ML8)."""
+    p, r = v.fitted_predictions(spark, sf), v.returns(spark, sf)
+    plain = bt.monthly_backtest(p, r).withColumn("weighting", F.lit("equal"))
+    return rounded(plain.unionByName(bt.monthly_backtest(p, r, weight="p2").withColumn("weighting", F.lit("probability"))))
+
+
+@query("fitted_performance")
+def fitted_performance(spark, sf):
+    """Performance of the fitted predictions under both weightings (ML10)."""
+    p, r = v.fitted_predictions(spark, sf), v.returns(spark, sf)
+    parts = [bt.performance(bt.monthly_backtest(p, r, weight=w)).withColumn("weighting", F.lit(n)) for n, w in (("equal", None), ("probability", "p2"))]
+    return rounded(parts[0].unionByName(parts[1]))
 
 
 @query("model_families")

@@ -22,11 +22,13 @@ from panelwright.operators import features as ft
 from panelwright.operators import granger as gr
 from panelwright.operators import graph as gp
 from panelwright.operators import invariance as iv
+from panelwright.operators import newton as nw
 from panelwright.operators import parents as ip
 from panelwright.operators import regression as rg
 from panelwright.operators import positions as ps
 from panelwright.operators import sentiment as st
 from panelwright.operators import sweep as sw
+from panelwright.operators.macro import union_all
 from panelwright.session import is_staged, staged
 
 SECTORS = ["FINANCIAL SERVICES", "INFORMATION TECHNOLOGY", "HEALTHCARE", "ENERGY", "AUTOMOBILE", "FMCG"]
@@ -516,6 +518,20 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "predictions", build)
 
 
+MODEL_COLUMNS = ["rsi", "monthly_return", "volume_ratio", "pe", "sentiment_mean", "vix", "holding_tenure"]
+
+
+def fitted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk-forward predictions of two softmax models: chosen columns, and every candidate column."""
+
+    def build():
+        r = ready(spark, sf_dir)
+        keep = ["fund", "isin", "period", "month_ord"]
+        return union_all([nw.walk_forward(r, cols, "action_ordinal", keep, n, embargo=1) for n, cols in (("logistic", MODEL_COLUMNS), ("logistic_all", NUMERIC))])
+
+    return _once(spark, sf_dir, "fitted_predictions", build)
+
+
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Realised return per stock and month, one row each; some months unknown."""
     m = monthly_indicators(spark, sf_dir).select(F.col("symbol").alias("isin"), "period", F.col("monthly_return").alias("real_return"))
