@@ -74,9 +74,10 @@ def masked(text: Column) -> Column:
 
 
 def holders(spans: DataFrame) -> DataFrame:
-    """Every different text with entities: h, es (distinct kind and entity), ws (words outside base spans)."""
+    """Every different text with entities: h, es (distinct, as kind:entity), ws (words outside base spans)."""
     every = F.concat(*[pii._tagged(k, "")[0] for k in pii.KINDS])
-    named = F.array_distinct(F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), pii._entity(s["kind"], s["value"]).alias("entity"))))
+    # strings, for which the distinct entries of an array are found by hash
+    named = F.array_distinct(F.transform(every, lambda s: F.concat(s["kind"], F.lit(":"), pii._entity(s["kind"], s["value"]))))
     some = spans.where(" OR ".join(f"size({k}) > 0" for k in pii.KINDS))
     return some.select(text_hash(F.col("text")).alias("h"), named.alias("es"), terms(masked(F.col("text"))).alias("ws")).dropDuplicates(["h"])
 
@@ -86,14 +87,15 @@ def entity_classes(held: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A class is known by the number of its texts and two sums of their hashes.
     """
-    rows = held.select("h", F.explode("es").alias("e")).select("h", "e.kind", "e.entity")
+    rows = held.select("h", F.explode("es").alias("entity"))
     one = F.struct(
         F.count("*").alias("d_e"), F.bit_xor(F.xxhash64("h")).alias("x"), F.sum(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 40))).alias("y")
     )
-    classes = stage(rows.groupBy("kind", "entity").agg(one.alias("c")), "terms-classes")
-    of_text = rows.join(classes, ["kind", "entity"]).select("h", "c").distinct()
-    named = F.explode(F.regexp_extract_all("entity", F.lit(r"\p{L}{%d,}" % PIECE), F.lit(0)))
-    return of_text, classes.where("kind = 'email'").select("c", named.alias("term")).distinct()
+    classes = stage(rows.groupBy("entity").agg(one.alias("c")), "terms-classes")
+    of_text = rows.join(classes, "entity").select("h", "c").distinct()
+    value = F.substring("entity", len("email:") + 1, F.length("entity"))
+    named = F.explode(F.regexp_extract_all(value, F.lit(r"\p{L}{%d,}" % PIECE), F.lit(0)))
+    return of_text, classes.where("entity LIKE 'email:%'").select("c", named.alias("term")).distinct()
 
 
 def pairs(held: DataFrame, of_text: DataFrame, named: DataFrame) -> DataFrame:
