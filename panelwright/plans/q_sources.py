@@ -72,15 +72,16 @@ def json_documents(spark, sf):
     SELECT substr(period, 1, 4) AS year, count(*) AS n, {near_sql("sum(CASE WHEN period >= '1999-01' THEN pct_nav * 2 ELSE pct_nav END)", 3)} AS weight,
       count(*) FILTER (period < '2001-01') AS with_action FROM panel GROUP BY 1""", "panel"))
 def graph_upsert(spark, sf):
-    """Keyed merge of edges: of repeated new rows the last counts, properties a new row lacks stay (SNK3)."""
+    """Keyed merge of edges: of repeated new rows the last counts, properties a new row lacks stay, years without new rows are not touched (SNK3)."""
     path = _folder(spark, "upsert")
     e = v.panel(spark, sf).select(F.lit("HOLDS").alias("etype"), F.col("fund").alias("src"), F.col("isin").alias("dst"), "period", F.col("pct_nav").alias("weight"), F.col("position_action").alias("action"))
-    keys = ["etype", "src", "dst", "period"]
-    fs.upsert_table(e.where(F.col("period") < "2001-01"), path, keys, "etype")
+    e = e.withColumn("year", F.substring("period", 1, 4))
+    keys = ["etype", "src", "dst", "period", "year"]
+    fs.upsert_table(e.where(F.col("period") < "2001-01"), path, keys, "year")
     later = e.where(F.col("period") >= "1999-01").drop("action")
     twice = later.withColumn("version", F.lit(1)).unionByName(later.withColumns({"weight": F.col("weight") * 2, "version": F.lit(2)}))
-    t = fs.upsert_table(twice, path, keys, "etype", ["version"])
-    return rounded(t.groupBy(F.substring("period", 1, 4).alias("year")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.count("action").alias("with_action")), 3)
+    t = fs.upsert_table(twice, path, keys, "year", ["version"])
+    return rounded(t.groupBy(F.col("year").cast("string").alias("year")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.count("action").alias("with_action")), 3)
 
 
 @query("union_by_name", sql("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from panelwright.functions import periods as pr
 from panelwright.functions.cleaning import is_ascii
 from panelwright.operators.macro import union_all
 from panelwright.operators.skew import keep_one
+from panelwright.session import staged
+
+# A merged partition is written as at most so many files.
+FILES_PER_PARTITION = 8
 
 # Header aliases of news files.
 NEWS_ALIASES = {
@@ -123,17 +129,32 @@ def write_documents(df: DataFrame, path: str, body: Column | None = None) -> Non
 
 
 def upsert_table(new: DataFrame, path: str, keys: list[str], partition_by: str, latest: list[str] | None = None) -> DataFrame:
-    """Keyed merge into a table of nodes or edges; the merged copy goes to a new version folder."""
+    """Keyed merge into a partitioned table; only partitions that ``new`` touches are read and replaced.
+
+    ``partition_by`` must be one of the keys, so that a key lives in one
+    partition. The merged rows are written beside the table first and then
+    replace their partitions in one commit: files of other partitions stay as
+    they are, and a failure before the commit leaves the old table. Columns
+    that ``new`` adds are NULL in partitions it does not touch.
+    """
     from panelwright.operators.graph import upsert
 
+    if partition_by not in keys:
+        raise ValueError(f"the partition column {partition_by} must be one of the keys {keys}")
     spark = new.sparkSession
-    version = 0
-    while path_exists(spark, f"{path}/v{version}"):
-        version += 1
-    old = spark.read.parquet(f"{path}/v{version - 1}") if version else new.limit(0)
-    out = upsert(old, new, keys, latest)
-    out.write.mode("overwrite").partitionBy(partition_by).parquet(f"{path}/v{version}")
-    return spark.read.parquet(f"{path}/v{version}")
+    if path_exists(spark, path):
+        old = spark.read.option("mergeSchema", True).parquet(path)
+        old = old.withColumn(partition_by, F.col(partition_by).cast(new.schema[partition_by].dataType))
+        touched = new.select(F.col(partition_by).alias("_touched")).distinct()
+        old = old.join(touched, F.col(partition_by).eqNullSafe(F.col("_touched")), "left_semi")
+    else:
+        old = new.limit(0)
+    merged = staged(upsert(old, new, keys, latest), "merge", f"{path}|{uuid.uuid4().hex}")
+    # a row per file and partition: the rows of a partition come together before they are written
+    merged.repartition(F.col(partition_by), F.pmod(F.xxhash64(*keys), F.lit(FILES_PER_PARTITION))).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(partition_by).parquet(path)
+    return spark.read.option("mergeSchema", True).parquet(path)
 
 
 def stable_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.operators import evaluate as ev
 from panelwright.operators import explain as ex
@@ -37,6 +38,23 @@ def test_upsert_merges_properties_and_repeated_keys(spark):
     assert got == {"a": (9, "x", 2), None: (6, "q", 1), "c": (7, "z", None), "d": (4, "n", 1)}
 
 
+def test_merge_replaces_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda schema, *x: spark.createDataFrame(x, schema)
+    fs.upsert_table(rows("k int, p string, w int", (1, "a", 5), (2, "b", 6), (3, None, 7)), path, ["k", "p"], "p")
+    files = lambda part: sorted(f.name for f in (tmp_path / "t" / f"p={part}").glob("*.parquet"))
+    before = files("b")
+    got = fs.upsert_table(rows("k int, p string, v int", (1, "a", 1), (4, "a", 2), (3, None, 3)), path, ["k", "p"], "p")
+    assert {(r.k, r.p, r.w, r.v) for r in got.collect()} == {(1, "a", 5, 1), (4, "a", None, 2), (2, "b", 6, None), (3, None, 7, 3)}
+    assert before and files("b") == before
+    bad = rows("k int, p string, w int", (1, "a", 0), (2, "b", 1)).withColumn("w", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        fs.upsert_table(bad, path, ["k", "p"], "p")
+    assert files("b") == before and spark.read.option("mergeSchema", True).parquet(path).count() == 4
+    with pytest.raises(ValueError):
+        fs.upsert_table(bad, path, ["k"], "p")
+
+
 def test_append_keeps_one_row_per_key(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(x, "k int, p string, w int")
     path = str(tmp_path / "t")
