@@ -141,3 +141,38 @@ def score_with_lexicon(df: DataFrame, text: str, positive: list[str], negative:
         }
     ).drop("_pos", "_neg", "_n")
     return add_score_fields(df)
+
+
+# Words of market news with a direction, and words that turn the next ones around.
+RISING = (
+    "advance advances approval beat beats boom boost bullish climb climbs exceeds gain gains good great growth higher improve improved improves jump jumps leading optimistic "
+    "outperform outperforms positive profit profits profitable rally rallies rebound record recover recovery rise rises rising robust soar soars strong stronger success surge surges upgrade upgraded win wins"
+).split()
+FALLING = (
+    "bad bankrupt bankruptcy bearish breach cut cuts crash crisis debt decline declines declining default defaults delay delays downgrade downgraded drop drops fail fails failure fall falling falls fear fears "
+    "fine fined fraud investigation lawsuit layoffs loss losses lower miss missed misses negative penalty plunge plunges poor probe recall recession risk risks slump slumps warning weak weaker worse worst"
+).split()
+NEGATORS = "barely cannot hardly lack lacks less neither never no nor not without".split()
+NEGATION_REACH = 3
+
+
+def score_with_polarity(df: DataFrame, text: str, positive: list[str] = RISING, negative: list[str] = FALLING, negators: list[str] = NEGATORS, reach: int = NEGATION_REACH) -> DataFrame:
+    """Scorer on a stated word list with negation, over whole texts, in native expressions.
+
+    A listed word with a negator among the ``reach`` words before it counts for
+    the other side. Probabilities are shares of the listed words, shrunk by one
+    neutral word; texts without listed words are neutral.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+"), lambda t: t != "")
+    d = df.withColumn("_w", words)
+
+    def side(w, i):
+        sign = F.when(w.isin(*positive), 1).when(w.isin(*negative), -1).otherwise(0)
+        start = F.greatest(i - reach + 1, F.lit(1))
+        before = F.slice(F.col("_w"), start, i - start + 1)
+        return F.when(sign == 0, 0).when(F.exists(before, lambda x: x.isin(*negators)), -sign).otherwise(sign)
+
+    d = d.withColumn("_s", F.filter(F.transform("_w", side), lambda x: x != 0)).drop("_w")
+    pos, neg = F.size(F.filter("_s", lambda x: x > 0)).cast("double"), F.size(F.filter("_s", lambda x: x < 0)).cast("double")
+    total = pos + neg + 1
+    return add_score_fields(d.withColumns({"positive_prob": pos / total, "negative_prob": neg / total, "neutral_prob": 1 / total}).drop("_s"))

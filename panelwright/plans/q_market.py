@@ -115,6 +115,22 @@ def lexicon_scores(spark, sf):
     return rounded(st.score_with_lexicon(d, "text", POSITIVE, NEGATIVE).drop("text"))
 
 
+def _quoted(words):
+    return "[" + ", ".join(repr(w) for w in words) + "]"
+
+
+@query("polarity_scores", f"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda t: t <> '') AS t FROM documents),
+    h AS (SELECT doc_id, list_filter(list_transform(t, lambda x, i: CASE WHEN NOT list_contains({_quoted(st.RISING + st.FALLING)}, x) THEN 0 ELSE
+        (CASE WHEN list_contains({_quoted(st.RISING)}, x) THEN 1 ELSE -1 END) * (CASE WHEN list_has_any(t[greatest(1, i - {st.NEGATION_REACH}):i - 1], {_quoted(st.NEGATORS)}) THEN -1 ELSE 1 END) END), lambda s: s <> 0) AS s FROM w),
+    c AS (SELECT doc_id, len(list_filter(s, lambda x: x > 0))::DOUBLE AS p, len(list_filter(s, lambda x: x < 0))::DOUBLE AS g FROM h)
+    SELECT doc_id, {near_sql("p / (p + g + 1)")} AS positive_prob, {near_sql("g / (p + g + 1)")} AS negative_prob, {near_sql("1 / (p + g + 1)")} AS neutral_prob FROM c""")
+def polarity_scores(spark, sf):
+    """Stated list of market words with negation over whole texts (ML19)."""
+    d = v.table(spark, sf, "documents").select("doc_id", "text")
+    return rounded(st.score_with_polarity(d, "text").select("doc_id", "positive_prob", "negative_prob", "neutral_prob"))
+
+
 @query("pluggable_scores", """
     WITH s AS (SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE (length(trim(text)) % 7 + 1) / 16.0::DOUBLE END AS p,
                  CASE WHEN trim(text) = '' THEN 0 ELSE (length(trim(text)) % 5 + 1) / 16.0::DOUBLE END AS g FROM documents)
