@@ -8,6 +8,11 @@
 
 A stage takes all that its predecessor kept, and all but the last return the
 columns of the documents as they came.
+
+Edge cases: null, empty and letterless texts go with the first stage, as they
+have no language; of rows that repeat an id and a text all stay together or go
+together until near copies are taken apart; very long texts are read whole;
+further columns pass through; empty tables give an empty result.
 """
 
 from __future__ import annotations
