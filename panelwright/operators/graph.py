@@ -7,6 +7,8 @@ tables, so a question about one type reads only its files.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ from panelwright.functions import rules as ru
 from panelwright.operators import skew
 from panelwright.operators.macro import union_all
 from panelwright.operators.positions import modal_value
+from panelwright.session import staged
+
+# Graphs with longer walks than this count as cyclic, and their paths are enumerated.
+DEEPEST = 32
 
 # Wording of explanatory groups.
 GROUP_DESCRIPTIONS = {
@@ -373,8 +379,48 @@ def paths(edges: DataFrame, max_hops: int = 4) -> DataFrame:
     return out.where(F.element_at("chain", 1) != F.element_at("chain", -1))
 
 
+def is_acyclic(edges: DataFrame, most: int = DEEPEST) -> bool:
+    """Whether no walk of ``most`` edges exists: steps on sets of nodes until none is left."""
+    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    front = e.select("b").distinct()
+    for _ in range(most):
+        front = staged(front.join(e.withColumnRenamed("b", "_next"), front["b"] == e["a"]).select(F.col("_next").alias("b")).distinct(), "front", uuid.uuid4().hex)
+        if front.isEmpty():
+            return True
+    return False
+
+
+def path_summaries(edges: DataFrame, max_hops: int = 4, k: int = 1) -> DataFrame:
+    """(tip, length, n, chains): the number of paths of every length that end in a node, and the ``k`` first chains.
+
+    Without cycles every walk is a path, so one join and one aggregation per
+    hop carry counts and the best chains; there are at most nodes x hops rows,
+    however many paths they stand for. With cycles, paths are enumerated and
+    those that repeat an edge or end where they start fall away.
+    """
+    if not is_acyclic(edges):
+        chains = paths(edges, max_hops).select(F.element_at("chain", -1).alias("tip"), "length", F.concat_ws(" > ", "chain").alias("chain"), F.lit(1).cast("long").alias("n"))
+        n = chains.groupBy("tip", "length").agg(F.sum("n").alias("n"))
+        best = skew.top_k(chains.select("tip", "length", "chain"), ["tip", "length"], [F.col("chain")], k)
+    else:
+        e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        count = e.groupBy(F.col("b").alias("tip")).agg(F.count("*").alias("n"))
+        chain = e.select(F.col("b").alias("tip"), F.concat_ws(" > ", "a", "b").alias("chain"))
+        counts, bests = [], []
+        for hop in range(1, max_hops + 1):
+            if hop > 1:
+                count = count.join(e, F.col("tip") == F.col("a")).groupBy("b").agg(F.sum("n").alias("n")).withColumnRenamed("b", "tip")
+                chain = chain.join(e, F.col("tip") == F.col("a")).select(F.col("b").alias("tip"), F.concat_ws(" > ", "chain", "b").alias("chain"))
+            chain = skew.top_k(chain, ["tip"], [F.col("chain")], k).select("tip", "chain")
+            counts.append(count.withColumn("length", F.lit(hop)))
+            bests.append(chain.withColumn("length", F.lit(hop)))
+        n, best = union_all(counts), union_all(bests)
+    best = best.groupBy("tip", "length").agg(F.sort_array(F.collect_list("chain")).alias("chains"))  # k chains
+    return n.join(best, ["tip", "length"]).select("tip", "length", "n", "chains")
+
+
 def longest_paths(edges: DataFrame, max_hops: int = 4, k: int = 3) -> DataFrame:
-    p = paths(edges, max_hops).withColumn("chain", F.concat_ws(" > ", "chain"))
+    p = path_summaries(edges, max_hops, k).select(F.explode("chains").alias("chain"), "length")
     return p.orderBy(F.desc("length"), "chain").limit(k)
 
 

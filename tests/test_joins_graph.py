@@ -56,3 +56,22 @@ def test_paths_use_no_edge_twice(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     got = {"".join(r["chain"]) for r in gp.paths(e, 4).collect()}
     assert {"ab", "abc", "abcd", "cabc"[1:], "bcab"[:3]} <= got and "abca" not in got
+
+
+def test_path_summaries_equal_enumeration(spark):
+    import random
+
+    r = random.Random(5)
+    layered = [(f"a{r.randint(0, 4)}", f"b{r.randint(0, 4)}") for _ in range(15)] + [(f"b{r.randint(0, 4)}", f"c{r.randint(0, 4)}") for _ in range(15)] + [("c1", "d0"), ("a0", "d0")]
+    for edges in (layered, layered + [("d0", "a1")], [("x", "x"), ("x", "y")], []):
+        e = spark.createDataFrame(edges, "src string, dst string")
+        want = {}
+        for p in gp.paths(e, 4).collect():
+            want.setdefault((p.chain[-1], p.length), []).append(" > ".join(p.chain))
+        for k in (1, 3):
+            got = {(p.tip, p.length): (p.n, p.chains) for p in gp.path_summaries(e, 4, k).collect()}
+            assert {key: v[0] for key, v in got.items()} == {key: len(v) for key, v in want.items()}
+            if not len(edges) == len(set(edges)):  # equal edges give equal chains
+                assert all(v[1][0] == min(want[key]) for key, v in got.items())
+            else:
+                assert {key: v[1] for key, v in got.items()} == {key: sorted(v)[:k] for key, v in want.items()}
