@@ -380,6 +380,7 @@ NUMERIC = [
     "holding_tenure", *INDICATORS, "sentiment_mean", "news_count", *FUNDAMENTALS, *MACRO,
     *[f"{c}_lag{k}" for part in ("stock_lags", "position_lags") for c, ks in READY[part].items() for k in ks], *READY["products"], *READY["roots"],
 ]
+# Candidates that domain knowledge favours.
 DOMAIN = [
     "pe", "pb", "eps", "eps_lag1", "market_cap", "sentiment_mean", "sentiment_mean_lag1", "repo_rate", "cpi", "vix", "index_return", "holding_tenure",
     "allocation_change_lag1", "allocation_change_lag2", "pct_nav_lag1", "volume_ratio", "rsi_lag1", "pe_x_return", "rsi_x_return", "vix_x_return",
@@ -476,6 +477,7 @@ def fitted_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "fitted_parents", build)
 
 
+# Treatments that come first.
 CORE_TREATMENTS = ["rsi", "monthly_return", "pe", "pb", "sentiment_mean", "repo_rate", "cpi", "vix", "volume_ratio", "holding_tenure"]
 
 
