@@ -87,7 +87,7 @@ def allocation_features(spark, sf):
     )
 
 
-@query("gap_fill", sql("""
+_GAPS = """
     WITH g AS (SELECT isin, period, row_number() OVER (PARTITION BY isin ORDER BY period) AS pos,
         CASE WHEN (CAST(substr(isin, 4, 3) AS INT) * 7 + CAST(substr(period, 6, 2) AS INT) * 3) % 11 < 4 THEN pe END AS pe FROM stock),
     k AS (SELECT *, last_value(pe IGNORE NULLS) OVER p AS v0, last_value(CASE WHEN pe IS NOT NULL THEN pos END IGNORE NULLS) OVER p AS p0,
@@ -95,7 +95,10 @@ def allocation_features(spark, sf):
       WINDOW p AS (PARTITION BY isin ORDER BY pos ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY isin ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
     l AS (SELECT isin, period, pos, coalesce(pe, CASE WHEN pos - p0 <= 3 OR p1 - pos <= 3 THEN v0 + (v1 - v0) * (pos - p0) / nullif(p1 - p0, 0) END) AS pe FROM k),
     f AS (SELECT *, last_value(pe IGNORE NULLS) OVER p AS v0, last_value(CASE WHEN pe IS NOT NULL THEN pos END IGNORE NULLS) OVER p AS p0 FROM l
-      WINDOW p AS (PARTITION BY isin ORDER BY pos ROWS UNBOUNDED PRECEDING))
+      WINDOW p AS (PARTITION BY isin ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("gap_fill", sql(_GAPS + """
     SELECT isin, period, """ + near_sql("coalesce(pe, CASE WHEN pos - p0 <= 3 THEN v0 END)", 5) + """ AS pe FROM f""", "stock"))
 def gap_fill(spark, sf):
     """Linear interpolation inside gaps and capped carry forward per stock (WN25)."""
@@ -104,6 +107,18 @@ def gap_fill(spark, sf):
     return rounded(ft.interpolate(df, ["isin"], "period", ["pe"]), 5)
 
 
+@query("gap_fill_both_ways", sql(_GAPS + """,
+    o AS (SELECT isin, period, pos, coalesce(pe, CASE WHEN pos - p0 <= 3 THEN v0 END) AS pe FROM f),
+    b AS (SELECT *, first_value(pe IGNORE NULLS) OVER n AS v1, first_value(CASE WHEN pe IS NOT NULL THEN pos END IGNORE NULLS) OVER n AS p1 FROM o
+      WINDOW n AS (PARTITION BY isin ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT isin, period, """ + near_sql("coalesce(pe, CASE WHEN p1 - pos <= 3 THEN v1 END)", 5) + """ AS pe FROM b""", "stock"))
+def gap_fill_both_ways(spark, sf):
+    """As gap_fill, and what is still open at the start of a series is carried backward (WN25)."""
+    seen = (F.substring("isin", 4, 3).cast("int") * 7 + F.substring("period", 6, 2).cast("int") * 3) % 11 < 4
+    df = stock(spark, sf).select("isin", "period", F.when(seen, F.col("pe")).alias("pe"))
+    return rounded(ft.interpolate(df, ["isin"], "period", ["pe"], back=True), 5)
+
+
 @query("period_split", sql("""
     WITH p AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT period FROM panel))
     SELECT split, count(*) AS n_rows, min(period) AS first_period, max(period) AS last_period FROM (
