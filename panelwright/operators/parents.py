@@ -38,7 +38,7 @@ from panelwright.operators.macro import union_all
 
 POOLED = "pooled"
 # Rows worked on together, subsets of one block, bins of the two counting passes.
-CHUNK, BLOCK, BINS, FINE_BINS = 65536, 256, 32, 1024
+CHUNK, BLOCK, BINS, FINE_BINS, FINEST_BINS = 65536, 256, 32, 1024, 16384
 # p-values below this decide nothing and are not told apart.
 SMALL_P = 1e-9
 # Open subsets of one search that skip the finer bins.
@@ -359,9 +359,10 @@ def search_all(
     ]
     count_bounds(rows, searches, [np.arange(len(s.members)) for s in searches], q, bins)
     left = [open_subsets(s, alphas) for s in searches]
-    if any(len(i) > FEW_OPEN for i in left):
-        count_bounds(rows, searches, [i if len(i) > FEW_OPEN else i[:0] for i in left], q, fine_bins)
-        left = [open_subsets(s, alphas) for s in searches]
+    for finer in (fine_bins, FINEST_BINS):
+        if any(len(i) > FEW_OPEN for i in left):
+            count_bounds(rows, searches, [i if len(i) > FEW_OPEN else i[:0] for i in left], q, finer)
+            left = [open_subsets(s, alphas) for s in searches]
     count_exactly(rows, searches, left, q)
     return searches
 
