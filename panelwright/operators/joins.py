@@ -82,16 +82,29 @@ def _floor(c: Column) -> Column:
     return F.floor(c + F.lit(1e-9)).cast("int")
 
 
+def letter_bits(c: Column) -> Column:
+    """Bit set of the letters of a text: 16 groups of letters, up to four of each counted."""
+
+    def add(bits: Column, letter: Column) -> Column:
+        at = (F.ascii(letter) % 16) * 4
+        own = F.call_function("shiftrightunsigned", bits, at).bitwiseAND(F.lit(15).cast("long"))
+        return bits.bitwiseOR(F.call_function("shiftleft", (own * 2 + 1).bitwiseAND(F.lit(15).cast("long")), at))
+
+    return F.aggregate(F.split(c, ""), F.lit(0).cast("long"), lambda bits, letter: F.when(letter == "", bits).otherwise(add(bits, letter)))
+
+
 def fuzzy_pairs(names: DataFrame, targets: DataFrame, cutoff: float, by_ratio: bool) -> DataFrame:
     """All (name, target) pairs that can reach ``cutoff``, found by an equi-join.
 
     A pair that reaches the cutoff differs by at most d edits: (1 - cutoff) of
     the longer length for edit similarity, of both lengths together for the
     block ratio. Cut the target into d + 1 consecutive pieces; one of them must
-    stand unchanged in the name, moved by at most d places. Targets publish
-    their pieces keyed by (length, piece number, text), names probe with the
-    substrings that could be that piece. No candidate is capped, the edit
-    distance is checked inside the join, and only true pairs leave it.
+    stand unchanged in the name, moved by s places where the edits that s and
+    the remaining shift need are at most d. Targets publish their pieces keyed
+    by (length, piece number, text), names probe with the substrings that could
+    be that piece, for lengths that occur. No candidate is capped: inside the
+    join, two bit sets tell pairs whose letters differ too much, the edit
+    distance is checked for the rest, and only true pairs leave it.
     """
     slack = 1.0 - cutoff
     stretch = (2.0 - cutoff) / cutoff if by_ratio else 1.0 / cutoff
@@ -109,11 +122,12 @@ def fuzzy_pairs(names: DataFrame, targets: DataFrame, cutoff: float, by_ratio: b
     t = t.withColumn("_len", F.length("target")).withColumn("_m", pieces_of(F.col("_len")))
     t = t.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     s0, s1 = start(F.col("_i"), F.col("_len"), F.col("_m")), start(F.col("_i") + 1, F.col("_len"), F.col("_m"))
-    t = t.select("target", "_len", "_i", F.substr("target", s0 + 1, s1 - s0).alias("_piece"))
+    t = t.select("target", "_len", "_i", F.substr("target", s0 + 1, s1 - s0).alias("_piece"), letter_bits(F.col("target")).alias("_tb"))
+    lengths = targets.select(F.length("name").alias("_len")).where("_len > 0").distinct()  # as many as texts have lengths
 
     n = names.select("name").where(F.length("name") > 0).distinct().withColumn("_ln", F.length("name"))
     shortest = F.ceil(F.col("_ln") / F.lit(stretch) - F.lit(1e-9)).cast("int")
-    n = n.withColumn("_len", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), _floor(F.col("_ln") * F.lit(stretch)))))
+    n = n.withColumn("_nb", letter_bits(F.col("name"))).join(F.broadcast(lengths), F.col("_len").between(shortest, _floor(F.col("_ln") * F.lit(stretch))))
     n = n.withColumns({"_m": pieces_of(F.col("_len")), "_d": edits(F.col("_ln"), F.col("_len"))})
     n = n.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     n = n.withColumns(
@@ -122,14 +136,23 @@ def fuzzy_pairs(names: DataFrame, targets: DataFrame, cutoff: float, by_ratio: b
             "_w": start(F.col("_i") + 1, F.col("_len"), F.col("_m")) - start(F.col("_i"), F.col("_len"), F.col("_m")),
         }
     )
-    lo = F.greatest(F.col("_s") - F.col("_d"), F.lit(0))
-    hi = F.least(F.col("_s") + F.col("_d"), F.col("_ln") - F.col("_w"))
+    # A piece moved by s needs |s| edits before it and |rest - s| behind it.
+    rest = F.col("_ln") - F.col("_len")
+    spare = F.floor((F.col("_d") - F.abs(rest)) / 2).cast("int")
+    lo = F.greatest(F.col("_s") + F.least(rest, F.lit(0)) - spare, F.lit(0))
+    hi = F.least(F.col("_s") + F.greatest(rest, F.lit(0)) + spare, F.col("_ln") - F.col("_w"))
     probes = F.array_distinct(F.transform(F.sequence(lo, hi), lambda p: F.substr(F.col("name"), p + 1, F.col("_w"))))
-    n = n.where(lo <= hi).select("name", "_d", "_len", "_i", F.explode(probes).alias("_piece"))
+    n = n.where((lo <= hi) & (spare >= 0)).select("name", "_d", "_len", "_i", "_nb", F.explode(probes).alias("_piece"))
+    # One edit takes away one letter and adds one; unmatched letters of both sides add up in the block ratio.
+    gone, new = (F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in ((n["_nb"], t["_tb"]), (t["_tb"], n["_nb"])))
+    alike = (gone + new if by_ratio else F.greatest(gone, new)) <= F.col("_d")
 
     close = F.levenshtein(F.col("name"), F.col("target")) <= F.col("_d")
-    hit = (n["_len"] == t["_len"]) & (n["_i"] == t["_i"]) & (n["_piece"] == t["_piece"]) & close
-    return n.join(t, hit).select("name", "target").distinct()
+    hit = (n["_len"] == t["_len"]) & (n["_i"] == t["_i"]) & (n["_piece"] == t["_piece"]) & alike & close
+    # A fixed number of tasks: few bytes make many pairs here, adaptive coalescing would leave one task.
+    tasks = max(2, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    keys = ["_len", "_i", "_piece"]
+    return n.repartition(tasks, *keys).join(t.repartition(tasks, *keys).hint("shuffle_hash"), hit).select("name", "target").distinct()
 
 
 def fuzzy_match(names: DataFrame, targets: DataFrame, cutoff: float = 0.75, by_ratio: bool = False) -> DataFrame:
