@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import difflib
+from itertools import combinations
+from math import ceil, comb, floor
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,8 +97,90 @@ def letter_bits(c: Column) -> Column:
     return F.aggregate(F.split(c, ""), F.lit(0).cast("long"), lambda bits, letter: F.when(letter == "", bits).otherwise(add(bits, letter)))
 
 
+# Subsequences a text may have to be found by them; keys of a join task, and keys made at a time.
+MOST_KEYS, TASK_KEYS, KEY_CHUNK = 1000, 1_000_000, 1 << 20
+
+
+def common_letters(la: int, lb: int, cutoff: float, by_ratio: bool) -> int:
+    """Length of a subsequence that two texts of these lengths must share to reach ``cutoff``."""
+    slack = 1.0 - cutoff
+    if by_ratio:
+        return ceil((la + lb - floor((la + lb) * slack + 1e-9)) / 2)
+    return max(la, lb) - floor(max(la, lb) * slack + 1e-9)
+
+
+def subsequence_keys(texts: DataFrame, col: str, wanted: dict[int, list[int]]) -> DataFrame:
+    """(col, _key) with a hash of every subsequence of the ``wanted`` lengths, given by length of the text."""
+    combos = {(n, m): np.array(list(combinations(range(n), m))) for n, ms in wanted.items() for m in ms}
+
+    def keys(batches):
+        for b in batches:
+            text = b.column(0)
+            points = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in text.to_pylist()]
+            size = np.array([len(x) for x in points])
+            for n in np.unique(size).tolist():
+                rows = np.flatnonzero(size == n)
+                x = np.stack([points[i] for i in rows]).astype(np.uint64)
+                for m in wanted.get(n, ()):
+                    at, step = combos[n, m], max(1, KEY_CHUNK // len(combos[n, m]))
+                    for a in range(0, len(rows), step):
+                        h = np.full((len(x[a : a + step]), len(at)), m, np.uint64)
+                        for j in range(m):
+                            h = (h + x[a : a + step, at[:, j]]) * np.uint64(0x9E3779B97F4A7C15)
+                            h ^= h >> np.uint64(29)
+                        h.sort(1)
+                        own = np.ones(h.shape, bool)
+                        own[:, 1:] = h[:, 1:] != h[:, :-1]
+                        who = np.repeat(rows[a : a + step], own.sum(1))
+                        yield pa.RecordBatch.from_arrays([text.take(pa.array(who)), pa.array(h[own].view(np.int64))], [col, "_key"])
+
+    return texts.select(col).mapInArrow(keys, f"{col} string, _key long")
+
+
+def subsequence_pairs(names: DataFrame, targets: DataFrame, short: dict[tuple[int, int], int], tasks: int, sizes: dict[int, int], alike) -> DataFrame:
+    """Pairs of texts whose lengths are in ``short`` that share a subsequence of the length given there."""
+    of_name: dict[int, list[int]] = {}
+    of_target: dict[int, list[int]] = {}
+    for (la, lb), m in sorted(short.items()):
+        of_name.setdefault(la, []).append(m)
+        of_target.setdefault(lb, []).append(m)
+    of_name, of_target = ({n: sorted(set(ms)) for n, ms in x.items()} for x in (of_name, of_target))
+    total = sum(sizes.get(n, 0) * comb(n, m) for n, ms in of_target.items() for m in ms)
+    tasks = max(tasks, -(-total // TASK_KEYS))
+    n = subsequence_keys(names, "name", of_name).repartition(tasks, "_key")
+    t = subsequence_keys(targets, "target", of_target).repartition(tasks, "_key").hint("shuffle_hash")
+    return n.join(t, "_key").where(alike(F.col("name"), F.col("target"))).select("name", "target").distinct()
+
+
 def fuzzy_pairs(names: DataFrame, targets: DataFrame, cutoff: float, by_ratio: bool) -> DataFrame:
-    """All (name, target) pairs that can reach ``cutoff``, found by an equi-join.
+    """All (name, target) pairs that can reach ``cutoff``, found by equi-joins.
+
+    Short texts, with few subsequences of the length that a pair must share, are joined on hashes of these:
+    nearly all pairs that meet are true ones, so the work grows with the names. Others are joined on pieces.
+    """
+    slack = 1.0 - cutoff
+    stretch = (2.0 - cutoff) / cutoff if by_ratio else 1.0 / cutoff
+    names, targets = (df.select(F.col("name").alias(c)).where(F.length("name") > 0).distinct() for df, c in ((names, "name"), (targets, "target")))
+    sizes = [{r[0]: r[1] for r in df.groupBy(F.length(df.columns[0])).count().collect()} for df in (names, targets)]  # as many as texts have lengths
+    pairs = [(la, lb) for la in sizes[0] for lb in sizes[1] if ceil(la / stretch - 1e-9) <= lb <= floor(la * stretch + 1e-9)]
+    common = {p: common_letters(*p, cutoff, by_ratio) for p in pairs}
+    short = {p: m for p, m in common.items() if m > 0 and max(comb(p[0], m), comb(p[1], m)) <= MOST_KEYS}
+    long = [p for p in pairs if p not in short]
+
+    def alike(a: Column, b: Column) -> Column:
+        la, lb = F.length(a), F.length(b)
+        return F.levenshtein(a, b) <= _floor((la + lb if by_ratio else F.greatest(la, lb)) * F.lit(slack))
+
+    tasks = max(2, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    found = subsequence_pairs(names, targets, short, tasks, sizes[1], alike) if short else None
+    if found is None or long:
+        rest = piece_pairs(names, targets.withColumnsRenamed({"target": "name"}), cutoff, by_ratio, long)
+        found = found.unionByName(rest) if found is not None else rest
+    return found
+
+
+def piece_pairs(names: DataFrame, targets: DataFrame, cutoff: float, by_ratio: bool, lengths: list[tuple[int, int]]) -> DataFrame:
+    """All (name, target) pairs of the given ``lengths`` that can reach ``cutoff``, found by an equi-join.
 
     A pair that reaches the cutoff differs by at most d edits: (1 - cutoff) of
     the longer length for edit similarity, of both lengths together for the
@@ -123,11 +209,10 @@ def fuzzy_pairs(names: DataFrame, targets: DataFrame, cutoff: float, by_ratio: b
     t = t.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     s0, s1 = start(F.col("_i"), F.col("_len"), F.col("_m")), start(F.col("_i") + 1, F.col("_len"), F.col("_m"))
     t = t.select("target", "_len", "_i", F.substr("target", s0 + 1, s1 - s0).alias("_piece"), letter_bits(F.col("target")).alias("_tb"))
-    lengths = targets.select(F.length("name").alias("_len")).where("_len > 0").distinct()  # as many as texts have lengths
+    lengths = names.sparkSession.createDataFrame(lengths, "_ln int, _len int")  # as many as texts have lengths
 
     n = names.select("name").where(F.length("name") > 0).distinct().withColumn("_ln", F.length("name"))
-    shortest = F.ceil(F.col("_ln") / F.lit(stretch) - F.lit(1e-9)).cast("int")
-    n = n.withColumn("_nb", letter_bits(F.col("name"))).join(F.broadcast(lengths), F.col("_len").between(shortest, _floor(F.col("_ln") * F.lit(stretch))))
+    n = n.withColumn("_nb", letter_bits(F.col("name"))).join(F.broadcast(lengths), "_ln")
     n = n.withColumns({"_m": pieces_of(F.col("_len")), "_d": edits(F.col("_ln"), F.col("_len"))})
     n = n.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     n = n.withColumns(

@@ -42,3 +42,20 @@ def test_no_pair_is_lost(spark):
 def test_letter_bits_count_up_to_four_of_a_letter(spark):
     df = spark.createDataFrame([("aaaaaa", 4), ("ab", 2), ("", 0), ("aqq", 3)], "x string, n int")
     assert all(r["n"] == r["b"] for r in df.select("n", F.bit_count(jn.letter_bits(F.col("x"))).alias("b")).collect())
+
+
+def test_short_texts_meet_on_shared_subsequences_only(spark, monkeypatch):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("0123456789abcdef") for _ in range(12)) for _ in range(150)]
+    other = [b[:4] + "z" + b[4:] for b in base[:40]] + ["y" + b[1:9] + "ü" + b[10:] for b in base[40:80]] + [b[2:] for b in base[80:120]] + [b[::-1] for b in base[120:]] + ["aaaaaaaaaaaa", "abababababab"]
+    base += ["aaaaaaaaaaab", "babababababa"]
+    table = lambda x: spark.createDataFrame([(i,) for i in x], "name string")
+    for by_ratio in (False, True):
+        if by_ratio:
+            want = {(a, b) for a in other for b in base if difflib.SequenceMatcher(None, b, a).ratio() >= 0.75}
+        else:
+            want = {(a, b) for a in other for b in base if 1 - _distance(a, b) / max(len(a), len(b)) >= 0.75}
+        with monkeypatch.context() as m:
+            m.setattr(jn, "piece_pairs", None)  # not needed for short texts
+            got = {(r["name"], r["target"]) for r in jn.fuzzy_pairs(table(other), table(base), 0.75, by_ratio).collect()}
+        assert want <= got and len(want) >= 120 and (by_ratio or got == want)
