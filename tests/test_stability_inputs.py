@@ -6,10 +6,9 @@ def test_fitted_stability_needs_no_effects(spark, monkeypatch):
         raise AssertionError("effects were asked for")
 
     monkeypatch.setattr(q_causal.v, "fitted_effects", effects)
-    links = "target string, cause string, cause_group string, link_type string, lag int, beta double, p_value double, q_value double, significant boolean, stratum string"
     asked = []
     monkeypatch.setattr(q_causal.v, "fitted_links", lambda *_: asked.append("links"))
     monkeypatch.setattr(q_causal.v, "fitted_parents", lambda *_: spark.createDataFrame([(0.1, "pooled", "y")], "alpha double, stratum string, target string"))
     monkeypatch.setattr(q_causal.co, "target_links", lambda x: x)
     monkeypatch.setattr(q_causal.co, "stability", lambda links, parents: parents)
-    assert links and all_queries()["fitted_stability"](spark, "none").count() == 0 and asked == ["links"]
+    assert all_queries()["fitted_stability"](spark, "none").count() == 0 and asked == ["links"]
